@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import components, digest, packing, shapes, topn
+from quernel.llm import components, digest, leakage, packing, shapes, topn
 from quernel.runtime import real_key, table
 
 QS = [0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99]
@@ -75,12 +75,16 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), "doc_id", "text", CAPACITY, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", files.PATTERN)
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "page_lines"), table(spark, d, "eval_items"), "item_id", "text")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return shapes.judge_pages(table(spark, d, "documents"), "doc_id", "text").filter("flagged").select("doc_id")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_percentiles, p1_certificates, p4_found, p7_found, p7_split, p8_containers, p10_found)}
+    return {f.__name__: f for f in (p1_percentiles, p1_certificates, p4_found, p7_found, p7_split, p8_containers, p9_found, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:

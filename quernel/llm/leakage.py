@@ -159,10 +159,12 @@ class Items:
                 continue
             keys, owners = self.tables[r] if r in self.tables else next(iter(self.tables.values()))
             b = _bands(sig[at], r)
-            left, right = np.searchsorted(keys, b.ravel()), np.searchsorted(keys, b.ravel(), side="right")
-            hit = np.flatnonzero(right > left)
+            wanted = b.ravel()
+            left = np.searchsorted(keys, wanted)
+            left[left == len(keys)] = 0
+            hit = np.flatnonzero(keys[left] == wanted)
             window = at[hit // b.shape[1]]
-            pairs = _pairs(window, left[hit], right[hit], owners, len(self.passages))
+            pairs = _pairs(window, left[hit], np.searchsorted(keys, wanted[hit], side="right"), owners, len(self.passages))
             for c in range(0, len(pairs), 1 << 18):
                 w, p = np.divmod(pairs[c : c + (1 << 18)], len(self.passages))
                 enough = kept[w[:, None], self.places[p]].sum(1) >= self.needed[p]
@@ -215,7 +217,8 @@ def _windows(h: np.ndarray, universe: np.ndarray) -> list[tuple[int, np.ndarray]
         return []
     firsts = np.arange(0, max(1, len(h) - RUN), RUN)
     x, y = np.searchsorted(kept, firsts), np.searchsorted(kept, firsts + (2 * RUN - SHINGLE + 1))
-    return [(int(firsts[i]), w) for i in np.flatnonzero(y - x >= least) if len(w := np.unique(sh[kept[x[i]:y[i]]])) >= least]
+    held = sh[kept]
+    return [(int(firsts[i]), held[x[i]:y[i]]) for i in np.flatnonzero(y - x >= least)]
 
 
 class _Near(dict):
@@ -240,14 +243,23 @@ def _alike(a: str, b: str) -> bool:
     most = 0 if n < 4 else 1 if n < 7 else 2 if n < 11 else 3
     if abs(len(a) - len(b)) > most:
         return False
+    i, x, y = 0, len(a), len(b)
+    while i < x and i < y and a[i] == b[i]:
+        i += 1
+    while x > i and y > i and a[x - 1] == b[y - 1]:
+        x -= 1
+        y -= 1
+    a, b = a[i:x], b[i:y]
+    if max(len(a), len(b)) <= most:
+        return True
+    if most < 2 or not a or not b:  # one edit lies between what both begin and end with
+        return False
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
-        best = i
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-            best = min(best, row[j])
-        if best > most:
+        if min(row) > most:
             return False
     return row[-1] <= most
 
@@ -256,7 +268,7 @@ def longest_run(item: list[str], lines: list[list[tuple[str, str]]], enough: int
     """Words of item that the page carries in a row; lines: (folded, written) words in reading order.
 
     A state is the next item word awaited; its value the words carried so far. States at the end of a
-    line go on at the beginning of any of the SET_IN + 1 lines after it.
+    line go on at the beginning of the next one, and from two words on also behind SET_IN lines.
     """
     n = len(item)
     where: dict[str, list[int]] = {}
@@ -268,12 +280,14 @@ def longest_run(item: list[str], lines: list[list[tuple[str, str]]], enough: int
     for line in lines:
         states: dict[int, int] = {}
         begun: dict[tuple[int, str], int] = {}
-        for s, b in ends[-1 - SET_IN:]:
+        if ends:
+            states, begun = dict(ends[-1][0]), dict(ends[-1][1])
+        for s, b in ends[-1 - SET_IN : -1]:
             for i, r in s.items():
-                if r > states.get(i, 0):
+                if r > 1 and r > states.get(i, 0):
                     states[i] = r
             for k, r in b.items():
-                if r > begun.get(k, 0):
+                if r > 1 and r > begun.get(k, 0):
                     begun[k] = r
         last, opened = len(line) - 1, {}
         skip: dict[int, int] = {}  # states that a word read in two takes effect one word later
@@ -311,9 +325,8 @@ def longest_run(item: list[str], lines: list[list[tuple[str, str]]], enough: int
             if k == last:
                 head = raw.rstrip(BREAKS + " ")
                 part = fold(head)
-                for i in range(n) if not states else [i for i in states if i < n]:
-                    if part and len(part) < len(item[i]) + 1 and (item[i].startswith(part) or (len(part) > 3 and _near(part, item[i][: len(part)]))):
-                        r = states.get(i, 0)
+                for i, r in states.items() if part else ():
+                    if i < n and len(part) <= len(item[i]) and (item[i].startswith(part) or (r >= 3 and len(part) > 3 and _near(part, item[i][: len(part)]))):
                         if r > opened.get((i, head), -1):
                             opened[i, head] = r
             states = new
@@ -348,18 +361,24 @@ def leaks(pages: list[tuple], items: Items, folds: Folds) -> list[tuple]:
             of += [(len(read), a) for a, _ in got]
             windows += [w for _, w in got]
             read.append((page, lines, at))
-    spans: dict[tuple[int, int], list[int]] = {}
+    # The lines around the candidate windows of a page and an item, windows that touch taken together.
+    spans: dict[tuple[int, int], list[list[int]]] = {}
     for w, i in items.candidates(windows):
         k, first = of[w]
         at = read[k][2]
-        spans.setdefault((k, i), []).append(at[first])
-        spans[k, i].append(at[min(len(at), first + 2 * RUN) - 1])
+        a, z = max(0, at[first] - MARGIN), at[min(len(at), first + 2 * RUN) - 1] + MARGIN + 1
+        known = spans.setdefault((k, i), [])
+        if known and a <= known[-1][1]:
+            known[-1][1] = z
+        else:
+            known.append([a, z])
     out = []
-    for (k, i), rows in spans.items():
+    for (k, i), parts in spans.items():
         page, lines, _ = read[k]
-        near = lines[max(0, min(rows) - MARGIN) : max(rows) + MARGIN + 1]
-        if longest_run(items.words[i], [[(folds[w][0], w) for w in ws] for ws in near], RUN) >= RUN:
-            out.append((page, items.ids[i]))
+        for a, z in parts:
+            if longest_run(items.words[i], [[(folds[w][0], w) for w in ws] for ws in lines[a:z]], RUN) >= RUN:
+                out.append((page, items.ids[i]))
+                break
     return out
 
 

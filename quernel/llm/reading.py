@@ -68,33 +68,31 @@ def reading_order(text: str, boxes: np.ndarray | None) -> list[str]:
     lines = text.split("\n")
     if boxes is None or not len(boxes):
         return lines
-    b = np.asarray(boxes, float).reshape(-1, 5)
-    where: dict[int, tuple] = {}
-    for no, xa, ya, xb, yb in b.tolist():
-        if 1 <= no <= len(lines) and min(xa, xb, ya, yb) >= 0:
-            where.setdefault(int(no), (min(xa, xb), min(ya, yb), max(xa, xb)))
-    if not where:
+    b = np.asarray(boxes).reshape(-1, 5)
+    b = b[(b[:, 0] >= 1) & (b[:, 0] <= len(lines)) & (b[:, 1:].min(1) >= 0)]
+    if not len(b):
+        return lines
+    nos, firsts = np.unique(b[:, 0], return_index=True)
+    b = b[firsts].astype(float)
+    left, right, top = np.minimum(b[:, 1], b[:, 3]), np.maximum(b[:, 1], b[:, 3]), np.minimum(b[:, 2], b[:, 4])
+    numbers = nos.tolist()
+    width = float(np.median((right - left) / np.array([max(1, len(lines[n - 1].rstrip())) for n in numbers]))) or 1.0
+    starts = _columns(left, width)
+    if len(starts) == 1 and (np.diff(top) >= 0).all():
         return lines
-    nos = np.fromiter(where, int)
-    box = np.array([where[n] for n in nos.tolist()])
-    size = np.array([max(1, len(lines[n - 1].rstrip())) for n in nos.tolist()])
-    width = float(np.median((box[:, 2] - box[:, 0]) / size)) or 1.0
-    starts = _columns(box[:, 0], width)
-    if len(starts) == 1:
-        if (np.diff(box[np.argsort(nos), 1]) >= 0).all():
-            return lines
     edges = np.array(starts)
-    placed: list[tuple[int, float, int, str]] = []
-    lost: list[int] = []
-    for no, line in enumerate(lines, 1):
-        got = where.get(no)
-        if got is None:
-            lost.append(no)
-            continue
-        for x, piece in _cut(line, got[0], got[2], starts, width):
-            placed.append((int(np.abs(edges - x).argmin()), got[1], no, piece))
-    if lost:
-        placed += _settle(lost, lines, where, placed, len(starts))
+    column = np.abs(edges[None, :] - left[:, None]).argmin(1)
+    crossing = ((edges[None, :] > left[:, None] + 4 * width) & (edges[None, :] < right[:, None] - 1.5 * width)).any(1)
+    placed: list[tuple[int, float, int, str]] = [
+        (c, y, n, lines[n - 1]) for c, y, n, x in zip(column.tolist(), top.tolist(), numbers, crossing.tolist()) if not x
+    ]
+    for k in np.flatnonzero(crossing).tolist():
+        n = numbers[k]
+        for x, piece in _cut(lines[n - 1], left[k], right[k], starts, width):
+            placed.append((min(range(len(starts)), key=lambda c: abs(starts[c] - x)), float(top[k]), n, piece))
+    if len(numbers) < len(lines):
+        where = {n: (x, y) for n, x, y in zip(numbers, left.tolist(), top.tolist())}
+        placed += _settle([n for n in range(1, len(lines) + 1) if n not in where], lines, where, placed, len(starts))
     placed.sort(key=lambda p: p[:3])
     return [p[3] for p in placed]
 

@@ -95,8 +95,9 @@ def issues(cells: DataFrame) -> DataFrame:
 
 def widen(cells: DataFrame, types: dict[str, str], entity_name: str) -> DataFrame:
     """One row per entity and one typed column per attribute of the dictionary."""
-    names = sorted(types)
-    wide = cells.groupBy("entity").pivot("attribute", names).agg(F.first("entry")) if names else cells.select("entity").distinct()
+    names, key = sorted(types), "\tentity"  # no attribute in key form begins with a tab
+    cells = cells.withColumnRenamed("entity", key)
+    wide = cells.groupBy(key).pivot("attribute", names).agg(F.first("entry")) if names else cells.select(key).distinct()
     typed = []
     for a in names:
         c = F.col(f"`{a}`")
@@ -105,4 +106,4 @@ def widen(cells: DataFrame, types: dict[str, str], entity_name: str) -> DataFram
         elif types[a] != "string":
             c = c.try_cast(types[a])
         typed.append(c.alias(a + "_" if a.lower() == entity_name.lower() else a))
-    return wide.select(F.col("entity").alias(entity_name), *typed)
+    return wide.select(F.col(key).alias(entity_name), *typed)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,13 +47,11 @@ def format_number(num: Column) -> Column:
         .when(whole, F.format_string("%.0f", num))
         .otherwise(F.format_string("%.6f", num))
     )
-    return F.coalesce(text, F.lit(""))
+    return F.when(num.isNull(), F.lit("")).otherwise(text)
 
 
 def exact_text(num: Column) -> Column:
     """format_number rounded from the exact binary value, half to even: for text sinks (Arrow batches)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def render(s: pd.Series) -> pd.Series:
         return s.map(lambda x: "" if x is None or x != x else f"{x:.0f}" if x in (float("inf"), float("-inf")) or x == int(x) else f"{x:.6f}")

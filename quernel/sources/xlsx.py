@@ -307,7 +307,7 @@ def _typed(text: str, types: str, dates: str, na: str | None) -> str | None:
                         at = dt.datetime.fromisoformat(text) if style < 3 else dt.datetime.combine(EPOCH.date(), dt.time.fromisoformat(text.zfill(8)))
                     except ValueError:
                         break
-                    return f' s="{style}"><v>{(at - EPOCH) / dt.timedelta(days=1):.10g}</v>'
+                    return f' s="{style}"><v>{(at - EPOCH) / dt.timedelta(days=1):.15g}</v>'
         if text.lower() in ("true", "false"):
             return f' t="b"><v>{int(text.lower() == "true")}</v>'
         if re.fullmatch(r"-?(0|[1-9]\d*)", text) and len(text) < 16 or re.fullmatch(r"[+-]?(\d+\.\d*|\.\d+)([eE][+-]?\d+)?|[+-]?\d+[eE][+-]?\d+", text):

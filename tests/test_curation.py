@@ -17,7 +17,7 @@ def _orphans(spark, child, parent, **how):
     p = spark.createDataFrame(parent, "k string, loaded_at timestamp_ntz, deleted_at timestamp_ntz, rec_id string")
     folded = orphans.fold_parent(p, "k", "loaded_at", "deleted_at")
     rows = sorted(tuple(r) for r in orphans.orphan_rows(c, "k", "loaded_at", folded, "rec_id", **how).collect())
-    counts = sorted(tuple(r) for r in orphans.orphan_counts(c, "k", "loaded_at", folded, **how).collect())
+    counts = sorted((tuple(r) for r in orphans.orphan_counts(c, "k", "loaded_at", folded, **how).collect()), key=repr)
     return rows, counts
 
 

@@ -58,7 +58,7 @@ def test_numbers_in_text(spark):
 
 def test_mutate_forms(spark):
     t = Table.of(spark.createDataFrame([("ab-12", 2.0, 0.0)], "s string, x double, y double"), ["s"])
-    t = mutate(t, 'r=sub($s,"([a-z]+)-(\\d+)","$2:$1")', "s/s/b/B\\/", "d=$x / $y", "x=$x * 2", "z=$x + 1")
+    t = mutate(t, 'r=sub($s,"([a-z]+)-(\\d+)","$2:$1")', "s/s/b/B\\//", "d=$x / $y", "x=$x * 2", "z=$x + 1")
     assert t.names == ("s", "x", "y", "r", "d", "x", "z")
     assert rows(t) == [("aB/-12", 2.0, 0.0, "12:ab", None, 4.0, 3.0)]
     assert t.to_df().columns == ["s", "x", "y", "r", "d", "x#2", "z"]
@@ -125,7 +125,7 @@ def test_sort_and_slice(spark):
     assert order("s:n") == [3, 6, 2, 4, 1, 5, 0]
     assert order("s:nr") == [0, 1, 5, 4, 2, 6, 3]
     assert order("s") == [3, 4, 0, 1, 5, 6, 2]
-    assert order("s:n:r", "i:nr")[:3] == [0, 5, 1] or True
+    assert order("s:n:r", "i:nr")[:3] == [0, 5, 1]
     place = lambda spec: [r[0] for r in rows(take(t, spec))]
     assert place("2,4:5") == [1, 3, 4] and place(":-2") == [0, 1, 2, 3, 4, 5] and place("-2:") == [5, 6] and place("6:99") == [5, 6] and place("8") == []
     with pytest.raises(SelectorError):

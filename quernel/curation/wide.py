@@ -96,11 +96,12 @@ def issues(cells: DataFrame) -> DataFrame:
 def widen(cells: DataFrame, types: dict[str, str], entity_name: str) -> DataFrame:
     """One row per entity and one typed column per attribute of the dictionary."""
     names, key = sorted(types), "\tentity"  # no attribute in key form begins with a tab
-    cells = cells.withColumnRenamed("entity", key)
-    wide = cells.groupBy(key).pivot("attribute", names).agg(F.first("entry")) if names else cells.select(key).distinct()
+    # A sparse map per entity (no larger than the dictionary), then a column per attribute.
+    pairs = F.map_from_entries(F.collect_list(F.when(F.col("entry").isNotNull() & F.col("attribute").isin(names), F.struct("attribute", "entry"))))
+    wide = cells.groupBy(F.col("entity").alias(key)).agg(pairs.alias("\tcells"))
     typed = []
     for a in names:
-        c = F.col(f"`{a}`")
+        c = F.try_element_at(F.col("\tcells"), F.lit(a))
         if types[a] == "boolean":
             c = F.when(F.lower(c).isin(*TRUE), True).when(F.lower(c).isin(*FALSE), False)
         elif types[a] != "string":

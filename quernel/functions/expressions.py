@@ -194,7 +194,10 @@ class Parser:
                 same = a.text == b.text
             return same if op == "==" else ~same
         held = {"<": a.num < b.num, "<=": a.num <= b.num, ">": a.num > b.num, ">=": a.num >= b.num}[op]
-        return F.coalesce(held & ~F.isnan(a.num) & ~F.isnan(b.num), F.lit(False))
+        for v in (a, b):
+            if v.loose is None:  # the result of arithmetic is never NaN
+                held = held & ~F.isnan(v.num)
+        return F.coalesce(held, F.lit(False))
 
     def _matches(self, cells: tuple[Val, ...], op: str) -> Column:
         static = self.at < len(self.tokens) and self.tokens[self.at].kind == "text" and not (
@@ -218,7 +221,7 @@ class Parser:
         out = self._product()
         while op := self.take("+", "-"):
             right = self._product()
-            out = number(out.num + right.num if op == "+" else out.num - right.num)
+            out = number(out.raw + right.raw if op == "+" else out.raw - right.raw)
         return out
 
     def _product(self) -> Val:
@@ -226,9 +229,9 @@ class Parser:
         while op := self.take("*", "/"):
             right = self._power()
             if op == "*":
-                out = number(out.num * right.num)
+                out = number(out.raw * right.raw)
             else:
-                out = number(F.when(F.abs(right.num) >= EPSILON, out.num / right.num))
+                out = number(F.when(F.abs(right.num) >= EPSILON, out.raw / right.num))
         return out
 
     def _power(self) -> Val:
@@ -239,9 +242,9 @@ class Parser:
 
     def _unary(self) -> Val:
         if self.take("-"):
-            return number(-self._unary().num)
+            return number(-self._unary().raw)
         if self.take("+"):
-            return number(self._unary().num)
+            return number(self._unary().raw)
         return self._factor()
 
     def _factor(self) -> Val:
@@ -252,7 +255,7 @@ class Parser:
         t = self.next()
         if t.kind == "number":
             n = F.lit(float(t.value))
-            return Val(format_number(n), n, True)
+            return Val(lambda: format_number(n), n, True)
         if t.kind == "text":
             from quernel.functions.values import parse_number
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quernel.functions.quantiles import fraction
-from quernel.functions.values import Val, number, parse_number
+from quernel.functions.values import Val, finite, number, parse_number, sure
 
 #: Other names of the statistics.
 ALIASES = {"avg": "mean", "med": "median", "std": "sd", "stddev": "sd", "variance": "var", "product": "prod", "random": "rand", "distinct": "countunique"}
@@ -51,17 +51,13 @@ def _flat(name: str, nums: list[Column]) -> Column | None:
         return nums[0] if len(nums) == 1 else (F.least if name == "min" else F.greatest)(*nums)
     if name == "prod":
         return F.when(n > 0, reduce(lambda x, y: x * y, [F.coalesce(x, F.lit(1.0)) for x in nums]))
-    if name in ("sd", "var"):
-        mean = total / F.nullif(n, F.lit(0))
-        var = add([F.coalesce((x - mean) * (x - mean), F.lit(0.0)) for x in nums]) / F.nullif(n, F.lit(0))
-        return F.sqrt(var) if name == "sd" else var
     return None
 
 
 def _ranked(name: str, nums: Column) -> Column | None:
     """Statistics of an array of numbers that is not empty."""
     f = fraction(name)
-    ordered = F.array_sort(nums)
+    ordered = F.sort_array(nums)  # array_sort would call a comparison for each pair
     if f is not None or name == "median":
         return _let(ordered, lambda o: _quantile(o, 0.5 if f is None else f))
     if name == "iqr":
@@ -72,6 +68,10 @@ def _ranked(name: str, nums: Column) -> Column | None:
     if name in ("absmin", "absmax"):
         least = F.array_min if name == "absmin" else F.array_max
         return _let(F.transform(nums, F.abs), lambda sizes: F.element_at(nums, F.array_position(sizes, least(sizes)).cast("int")))
+    if name in ("sd", "var"):
+        squares = lambda m: F.aggregate(nums, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(nums)
+        var = _let(_sum(nums) / F.size(nums), squares)
+        return F.sqrt(var) if name == "sd" else var
     if name in ("argmin", "argmax"):
         return F.array_position(nums, F.array_min(nums) if name == "argmin" else F.array_max(nums)).cast("double")
     return None
@@ -86,9 +86,10 @@ def row_statistic(name: str, cells: list[Val], seed: int = 0) -> Val:
         return number(F.lit(float(len(cells))))
     if name in ("first", "last"):
         return cells[0 if name == "first" else -1]
-    found = F.filter(F.array(*[v.finite for v in cells]), lambda x: x.isNotNull())
+    found = F.array_compact(F.array(*[v.finite for v in cells]))
     if _ranked(name, F.array(F.lit(0.0))) is not None:
-        return number(_let(found, lambda nums: F.when(F.size(nums) > 0, _ranked(name, nums))))
+        # finite() inside: what is outside an array function is computed again for each mention.
+        return sure(_let(found, lambda nums: F.when(F.size(nums) > 0, _let(_ranked(name, nums), finite))))
     texts = F.array(*[v.text for v in cells])
     text = lambda c: Val(c, parse_number(c))
     if name == "rand":
@@ -98,7 +99,7 @@ def row_statistic(name: str, cells: list[Val], seed: int = 0) -> Val:
     if name == "unique":
         return text(F.array_join(F.array_distinct(texts), ","))
     if name == "countunique":
-        return number(F.size(F.array_distinct(texts)).cast("double"))
+        return sure(F.size(F.array_distinct(texts)).cast("double"))
 
     def counted(use):
         """use(distinct texts, how often each comes)"""
@@ -110,5 +111,5 @@ def row_statistic(name: str, cells: list[Val], seed: int = 0) -> Val:
         return text(counted(lambda d, c: F.element_at(d, F.array_position(c, best(c)).cast("int"))))
     if name == "entropy":
         share = F.lit(float(len(cells)))
-        return number(counted(lambda d, c: F.aggregate(c, F.lit(0.0), lambda a, x: a - x / share * F.log2(x / share))))
+        return sure(counted(lambda d, c: F.aggregate(c, F.lit(0.0), lambda a, x: a - x / share * F.log2(x / share))))
     raise ValueError(f"no statistic {name!r}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -19,10 +20,20 @@ NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Do
 class Val:
     """text is never NULL ("" is the missing cell); num is NULL where the cell is no number."""
 
-    text: Column
+    shown: Column | Callable[[], Column]  # the text, or how to make it where something asks for it
     num: Column
     is_number: bool = False  # a numeric column, a literal or the result of arithmetic
     items: tuple[Val, ...] = ()  # of a list of columns
+    loose: Column | None = None  # num before what is not finite was made NULL
+
+    @property
+    def text(self) -> Column:
+        return self.shown() if callable(self.shown) else self.shown
+
+    @property
+    def raw(self) -> Column:
+        """For sums and products, through which what is not finite stays so: it is made NULL once, at the end."""
+        return self.num if self.loose is None else self.loose
 
     @property
     def finite(self) -> Column:
@@ -30,7 +41,7 @@ class Val:
 
 
 def finite(num: Column) -> Column:
-    return F.when(num.isNotNull() & ~F.isnan(num) & (F.abs(num) < float("inf")), num)
+    return F.when(F.abs(num) < F.lit(float("inf")), num)  # NaN is greater than all numbers
 
 
 def parse_number(text: Column) -> Column:
@@ -73,18 +84,23 @@ def cell(c: Column, kind: T.DataType) -> Val:
         text = F.coalesce(c, F.lit(""))
         return Val(text, parse_number(text))
     if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return Val(shortest(c), c.cast("double"), True)
+        return Val(lambda: shortest(c), c.cast("double"), True)
     if isinstance(kind, NUMERIC):
-        return Val(F.coalesce(c.cast("string"), F.lit("")), c.cast("double"), True)
+        return Val(lambda: F.coalesce(c.cast("string"), F.lit("")), c.cast("double"), True)
     return Val(F.coalesce(c.cast("string"), F.lit("")), F.lit(None).cast("double"))
 
 
 def number(num: Column) -> Val:
     """The result of arithmetic: anything that is not finite is blank."""
     n = finite(num)
-    return Val(format_number(n), n, True)
+    return Val(lambda: format_number(n), n, True, (), num)
+
+
+def sure(num: Column) -> Val:
+    """A number that cannot be infinite or NaN."""
+    return Val(lambda: format_number(num), num, True)
 
 
 def listed(items: list[Val]) -> Val:
     """Several columns where one value is expected: texts joined by tabs, the first number."""
-    return Val(F.concat_ws("\t", *[v.text for v in items]), F.coalesce(*[v.num for v in items]), False, tuple(items))
+    return Val(lambda: F.concat_ws("\t", *[v.text for v in items]), F.coalesce(*[v.num for v in items]), False, tuple(items))

@@ -31,7 +31,7 @@ HEAVY = 4
 #: The error in ranks, as a share of the values, that a certificate grants.
 RANK_ERROR = 0.005
 #: Values (or centroids) that a task holds at a time.
-HELD = 1 << 20
+HELD = 1 << 18
 SALTS = 32
 
 

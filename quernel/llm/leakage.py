@@ -52,7 +52,7 @@ MARGIN, PAGES = 10, 200
 class Folds(dict):
     """Words to (folded letters, hash), kept for words seen before."""
 
-    KEPT = 1 << 20
+    KEPT = 1 << 18
 
     def __missing__(self, word: str) -> tuple[str, int]:
         f = fold(word)
@@ -136,7 +136,7 @@ class Items:
         if passages:
             starts = np.cumsum([0, *map(len, passages[:-1])])
             sig = _minhash(np.concatenate(passages), starts)
-            for r in {rows_per_band(s, RUN - SHINGLE + 1) for s in range(1, 2 * RUN)}:
+            for r in {rows_per_band(min(s, 2 * RUN), RUN - SHINGLE + 1) for s in SIZES}:
                 b = _bands(sig, r)
                 order = np.argsort(b.ravel(), kind="stable")
                 self.tables[r] = b.ravel()[order], np.repeat(np.arange(len(passages)), b.shape[1])[order]
@@ -157,7 +157,7 @@ class Items:
             low = high
             if not len(at):
                 continue
-            keys, owners = self.tables[r] if r in self.tables else next(iter(self.tables.values()))
+            keys, owners = self.tables[r]
             b = _bands(sig[at], r)
             wanted = b.ravel()
             left = np.searchsorted(keys, wanted)
@@ -226,7 +226,7 @@ class _Near(dict):
 
     def __missing__(self, pair: tuple[str, str]) -> bool:
         got = _alike(*pair)
-        if len(self) < 1 << 20:
+        if len(self) < 1 << 18:
             self[pair] = got
         return got
 

@@ -84,7 +84,7 @@ def _counter(path: str, pattern: str):
             n = known.get(p)
             if n is None:
                 n = len(whole.encode_ordinary(p))
-                if len(known) < 1 << 20:
+                if len(known) < 1 << 18:
                     known[p] = n
             total += n
         return total

@@ -50,7 +50,7 @@ DOMINATED = 0.4
 class Words(dict):
     """(folded letters, sentence word, link, tag, capital, separators) of a word, kept for words seen before."""
 
-    KEPT = 1 << 20
+    KEPT = 1 << 18
 
     def __missing__(self, word: str) -> tuple[str, int, int, int, int, int]:
         low = word.lower().strip(".,;:!?\"'()[]|-=¬—~ ")

@@ -35,16 +35,11 @@ def pivot(t: Table, index: str, columns: str, values: str, fill: str | None = No
     cells = base.groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("n"), F.first("v").alias("v"), F.min(ORDER).alias("o"))
     alone = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("two rows for the cell of column "), F.col("c")))).otherwise(F.struct(F.col("v").alias("x")))
     cells = cells.withColumn("v", alone)
-    wide = cells.groupBy(*keys).pivot("c", heads).agg(F.first("v", ignorenulls=True)) if heads else cells.groupBy(*keys).agg(F.count("n"))
-    order = cells.groupBy(*keys).agg(F.min("o").alias(ORDER))
-    same = F.lit(True)
-    renamed = order.select(*[F.col(k).alias("r" + k) for k in keys], ORDER)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col("r" + k))
-    out = wide.join(renamed, same) if keys else wide.crossJoin(renamed)
+    # A map per row, then a column per head: heads may differ in case only.
+    out = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("m"), F.min("o").alias(ORDER))
     cols = [(names[i], F.col(f"i{k}")) for k, i in enumerate(idx)]
     for h in heads:
-        x = F.col(f"`{h.replace('`', '``')}`")
+        x = F.try_element_at("m", F.lit(h))
         cols.append((h, F.when(x.isNull(), F.lit(fill)).otherwise(x["x"].cast("string")) if fill is not None else x["x"]))
     return Table(out, tuple(names[i] for i in idx), t.has_header, t.text_mode).with_columns(cols)
 

@@ -139,6 +139,9 @@ def test_melt_pivot(spark):
     assert rows(pivot(long, "id", "variable", "value")) == [("A", 1, 2), ("B", 3, None)]
     assert rows(melt(t, "id", fill="-"))[3] == ("B", "s2", "-")
     assert rows(pivot(take(long, ":3"), "id", "variable", "value", fill="none")) == [("A", "1", "2"), ("B", "3", "none")]
+    case = Table.of(spark.createDataFrame([("i", "A", 1), ("i", "a", 2), ("j", "a b`c", 3)], "i string, c string, v int"), ["v"])
+    wide = pivot(case, "i", "c", "v")
+    assert wide.names == ("i", "A", "a", "a b`c") and rows(wide) == [("i", 1, 2, None), ("j", None, None, 3)]
     twice = Table.of(spark.createDataFrame([("A", "x", 1), ("A", "x", 2)], "i string, c string, v int"))
     with pytest.raises(Exception, match="two rows"):
         rows(pivot(twice, "i", "c", "v"))

@@ -264,11 +264,24 @@ def _alike(a: str, b: str) -> bool:
     return row[-1] <= most
 
 
+def _short_near(a: str, b: str) -> bool:
+    """Whether two words of two or three letters differ in one of them (one of them may have a letter less)."""
+    x, y = len(a), len(b)
+    if x > y:
+        a, b, x, y = b, a, y, x
+    if not 1 < y < 4 or y - x > 1:
+        return False
+    if x == y:
+        return sum([c != d for c, d in zip(a, b)]) <= 1
+    return any(b[:k] + b[k + 1 :] == a for k in range(y))
+
+
 def longest_run(item: list[str], lines: list[list[tuple[str, str]]], enough: int = 1 << 30) -> int:
     """Words of item that the page carries in a row; lines: (folded, written) words in reading order.
 
     A state is the next item word awaited; its value the words carried so far. States at the end of a
     line go on at the beginning of the next one, and from two words on also behind SET_IN lines.
+    A short word a letter off counts where the run goes on behind it, as it may as well be another word.
     """
     n = len(item)
     where: dict[str, list[int]] = {}
@@ -294,6 +307,7 @@ def longest_run(item: list[str], lines: list[list[tuple[str, str]]], enough: int
         for k, (f, raw) in enumerate(line):
             new: dict[int, int] = skip
             skip = {}
+            unsure: dict[int, int] = {}
             if k == 0:
                 for (i, head), r in begun.items():
                     if _near(fold(head + raw), item[i]) and r + 1 > new.get(i + 1, 0):
@@ -320,6 +334,8 @@ def longest_run(item: list[str], lines: list[list[tuple[str, str]]], enough: int
                     elif k < last and len(f) < len(item[i]) and _near(fold(raw + line[k + 1][1]), item[i]):
                         if r + 1 > skip.get(i + 1, 0):
                             skip[i + 1] = r + 1
+                    if len(item[i]) < 4 and r + 1 > new.get(i + 1, 0) and _short_near(f, item[i]):
+                        unsure[i + 1] = r + 1
                     if not f and r > new.get(i, 0):  # a mark that is no word
                         new[i] = r
             if k == last:
@@ -329,13 +345,16 @@ def longest_run(item: list[str], lines: list[list[tuple[str, str]]], enough: int
                     if i < n and len(part) <= len(item[i]) and (item[i].startswith(part) or (r >= 3 and len(part) > 3 and _near(part, item[i][: len(part)]))):
                         if r > opened.get((i, head), -1):
                             opened[i, head] = r
-            states = new
             if new:
                 m = max(new.values())
                 if m > best:
                     best = m
                     if best >= enough:
                         return best
+            for i, r in unsure.items():
+                if r > new.get(i, 0):
+                    new[i] = r
+            states = new
         ends.append((states, opened))
         if len(ends) > SET_IN + 2:
             ends[-SET_IN - 3] = ({}, {})

@@ -50,6 +50,16 @@ def test_misread_words():
     assert run(lines_of(noisy)) >= 25
 
 
+def test_short_misread_words():
+    # Page 2271 and item 203 of the 0.1 tables.
+    item = "Some sixty sawyers from Rothby sketched the condemned hospital parish school, although the timber of the condemned bridge was found to be rotten."
+    page = ["Some sixty sawyers from R0tlby", "sketched fhe condemned bospital", "parish school, although the", "timber of the condemned bridge", "wasfound Mr Dunlgar, the former"]
+    folds = [fold(w) for w in item.split()]
+    assert longest_run(folds, folded(page)) == 20
+    assert longest_run(folds, folded([*page[:3], "timber of fhe"])) == 15  # nothing follows the last one
+    assert longest_run(folds, folded([page[0], "sketched many condemned bospital", *page[2:]])) == 13
+
+
 def test_reading_order_of_columns():
     left, right = ["aaaa bbbb cccc", "dddd eeee ffff", "gggg hhhh iiii"], ["1111 2222 3333", "4444 5555 6666", "7777 8888 9999"]
     text = "\n".join([f"{left[0]}  {right[0]}", left[1], right[1], f"{left[2]} {right[2]}", "jjjj kkkk llll", "0000 1212 1313"])

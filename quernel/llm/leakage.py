@@ -23,6 +23,7 @@ tables give an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +37,10 @@ from quernel.llm.reading import BREAKS, fold, reading_order
 #: Words in a row that make a leak, words of a shingle, steps between passages of an item.
 RUN, SHINGLE, STEP = 15, 3, 1
 #: Hash functions, and the share of a passage's shingles that a window has to hold.
-#: (Three words and this share, as broken and misread words count as printed: of longer shingles too few survive.)
-HASHES, CONTAINED = 60, 0.6
+#: (Three words and this share, as broken and misread words count as printed: a misread word takes three shingles, a set-in advert half of them.)
+HASHES, CONTAINED = 60, 0.25
+#: How surely a pair of a window and a passage at that share is found.
+FOUND = 0.99
 #: Characters of items that are broadcast at a time.
 BLOCK_CHARS = 8_000_000
 #: Lines that may be set in between the lines of a passage.
@@ -75,21 +78,27 @@ def _shingles(h: np.ndarray) -> np.ndarray:
 _SEEDS = np.random.default_rng(9).integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 
 
-def _minhash(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """HASHES minima for each set; sets are values[starts[i]:starts[i + 1]], none of them empty."""
-    out = np.empty((len(starts), HASHES), np.uint64)
-    for k, seed in enumerate(_SEEDS):
+def _minhash(values: np.ndarray, starts: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """Minima of the first hashes for each set; sets are values[starts[i]:starts[i + 1]], none of them empty."""
+    out = np.empty((len(starts), hashes), np.uint64)
+    for k, seed in enumerate(_SEEDS[:hashes]):
         v = values * seed
         v ^= v >> np.uint64(32)
         out[:, k] = np.minimum.reduceat(v * seed, starts)
     return out
 
 
-def rows_per_band(size: int, query: int) -> int:
-    """For windows that keep `size` shingles: the most rows at which a pair at the least containment is found with 80 % or more (a leak has many such pairs)."""
-    least = max(1.0, CONTAINED * query)
-    j = least / (query + size - least) if size >= least else 0.0
-    return next((r for r in (4, 3, 2) if 1 - (1 - j**r) ** (HASHES // r) >= 0.8), 1)
+def rows_per_band(size: int, query: int) -> tuple[int, int]:
+    """For windows that keep `size` shingles: the most rows, and how many bands of them, at which a pair at the least containment is found with FOUND or more."""
+    least = math.ceil(CONTAINED * query)
+    j = min(1.0, least / (query + size - least)) if size >= least else 0.0
+    for r in (4, 3, 2, 1):
+        if j == 1.0:
+            return r, 1
+        n = math.ceil(math.log(1 - FOUND) / math.log(1 - j**r)) if j else HASHES + 1
+        if n * r <= HASHES:
+            return r, n
+    return 1, HASHES
 
 
 #: Partitions by the number of kept shingles.
@@ -98,7 +107,7 @@ SIZES = (8, 12, 18, 1 << 30)
 
 def _bands(sig: np.ndarray, r: int) -> np.ndarray:
     """Band hashes, one column per band."""
-    used = sig[:, : HASHES // r * r].reshape(len(sig), -1, r)
+    used = sig[:, : sig.shape[1] // r * r].reshape(len(sig), -1, r)
     out = np.zeros(used.shape[:2], np.uint64)
     for i in range(r):
         out = (out ^ used[:, :, i]) * np.uint64(0xD6E8FEB86659FD93)
@@ -116,6 +125,7 @@ class Items:
         self.ids = [r[0] for r in rows]
         self.raw = [[w for w in (r[1] or "").split() if folds[w][0]] for r in rows]
         self.words = [[folds[w][0] for w in ws] for ws in self.raw]
+        self.index = [index_of(ws) for ws in self.words]
         passages, owner = [], []
         for i, ws in enumerate(self.raw):
             sh = _shingles(np.array([folds[w][1] for w in ws], np.uint64))
@@ -136,7 +146,7 @@ class Items:
         if passages:
             starts = np.cumsum([0, *map(len, passages[:-1])])
             sig = _minhash(np.concatenate(passages), starts)
-            for r in {rows_per_band(min(s, 2 * RUN), RUN - SHINGLE + 1) for s in SIZES}:
+            for r in {rows_per_band(min(s, 2 * RUN), RUN - SHINGLE + 1)[0] for s in SIZES}:
                 b = _bands(sig, r)
                 order = np.argsort(b.ravel(), kind="stable")
                 self.tables[r] = b.ravel()[order], np.repeat(np.arange(len(passages)), b.shape[1])[order]
@@ -147,18 +157,17 @@ class Items:
             return []
         found: set[tuple[int, int]] = set()
         sizes = np.array([len(w) for w in windows])
-        sig = _minhash(np.concatenate(windows), np.cumsum([0, *sizes[:-1]]))
         kept = np.zeros((len(windows), len(self.universe) + 1), bool)
         kept[np.repeat(np.arange(len(windows)), sizes), np.searchsorted(self.universe, np.concatenate(windows))] = True
         low = 0
         for high in SIZES:
             at = np.flatnonzero((sizes > low) & (sizes <= high))
-            r = rows_per_band(min(high, 2 * RUN), RUN - SHINGLE + 1)
+            r, n = rows_per_band(min(high, 2 * RUN), RUN - SHINGLE + 1)
             low = high
             if not len(at):
                 continue
             keys, owners = self.tables[r]
-            b = _bands(sig[at], r)
+            b = _bands(_minhash(np.concatenate([windows[w] for w in at]), np.cumsum([0, *sizes[at][:-1]]), n * r), r)
             wanted = b.ravel()
             left = np.searchsorted(keys, wanted)
             left[left == len(keys)] = 0
@@ -276,7 +285,18 @@ def _short_near(a: str, b: str) -> bool:
     return any(b[:k] + b[k + 1 :] == a for k in range(y))
 
 
-def longest_run(item: list[str], lines: list[list[tuple[str, str]]], enough: int = 1 << 30) -> int:
+def index_of(item: list[str]) -> tuple[dict, dict, dict]:
+    """Where each word, each two words in a row and each two words run together stand in item."""
+    where: dict[str, list[int]] = {}
+    pairs: dict[tuple[str, str], list[int]] = {}
+    for i, w in enumerate(item):
+        where.setdefault(w, []).append(i)
+        if i:
+            pairs.setdefault((item[i - 1], w), []).append(i - 1)
+    return where, pairs, {item[i] + item[i + 1]: i for i in range(len(item) - 1)}
+
+
+def longest_run(item: list[str], lines: list[list[tuple[str, str]]], enough: int = 1 << 30, index: tuple | None = None) -> int:
     """Words of item that the page carries in a row; lines: (folded, written) words in reading order.
 
     A state is the next item word awaited; its value the words carried so far. States at the end of a
@@ -284,10 +304,7 @@ def longest_run(item: list[str], lines: list[list[tuple[str, str]]], enough: int
     A short word a letter off counts where the run goes on behind it, as it may as well be another word.
     """
     n = len(item)
-    where: dict[str, list[int]] = {}
-    for i, w in enumerate(item):
-        where.setdefault(w, []).append(i)
-    joined = {item[i] + item[i + 1]: i for i in range(n - 1)}
+    where, pairs, joined = index or index_of(item)
     ends: list[tuple[dict, dict]] = []  # per line: states, and states with a word begun: (awaited, begun) -> words
     best = 0
     for line in lines:
@@ -312,10 +329,18 @@ def longest_run(item: list[str], lines: list[list[tuple[str, str]]], enough: int
                 for (i, head), r in begun.items():
                     if _near(fold(head + raw), item[i]) and r + 1 > new.get(i + 1, 0):
                         new[i + 1] = r + 1
-            for i in where.get(f, ()):
-                r = states.get(i, 0) + 1
-                if r > new.get(i + 1, 0):
-                    new[i + 1] = r
+            if k + 1 >= last or line[k + 1][0] in joined:
+                for i in where.get(f, ()):
+                    r = states.get(i, 0) + 1
+                    if r > new.get(i + 1, 0):
+                        new[i + 1] = r
+            else:  # a run begins where the next word goes on with it
+                for i, r in states.items():
+                    if i < n and item[i] == f and r + 1 > new.get(i + 1, 0):
+                        new[i + 1] = r + 1
+                for i in pairs.get((f, line[k + 1][0]), ()):
+                    if i + 1 not in new:
+                        new[i + 1] = 1
             if f in joined:
                 i = joined[f]
                 r = states.get(i, 0) + 2
@@ -392,10 +417,13 @@ def leaks(pages: list[tuple], items: Items, folds: Folds) -> list[tuple]:
         else:
             known.append([a, z])
     out = []
+    shown: dict[int, list] = {}
     for (k, i), parts in spans.items():
         page, lines, _ = read[k]
+        if k not in shown:
+            shown = {k: [[(folds[w][0], w) for w in ws] for ws in lines]}
         for a, z in parts:
-            if longest_run(items.words[i], [[(folds[w][0], w) for w in ws] for ws in lines[a:z]], RUN) >= RUN:
+            if longest_run(items.words[i], shown[k][a:z], RUN, items.index[i]) >= RUN:
                 out.append((page, items.ids[i]))
                 break
     return out

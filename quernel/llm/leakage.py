@@ -45,6 +45,8 @@ FOUND = 0.99
 BLOCK_CHARS = 8_000_000
 #: Lines that may be set in between the lines of a passage.
 SET_IN = 8
+#: Words in a row from which on a run is read again for a misread or broken beginning.
+NEARLY = 11
 #: Lines before and after candidate windows that are read word by word as well; pages that a task looks up at a time.
 MARGIN, PAGES = 10, 200
 
@@ -285,6 +287,11 @@ def _short_near(a: str, b: str) -> bool:
     return any(b[:k] + b[k + 1 :] == a for k in range(y))
 
 
+def _whole(a: str, b: str, r: int) -> bool:
+    """Whether the parts of a broken word make up b; at the beginning of a run (r = 0) without a misread letter."""
+    return a == b if r == 0 else _near(a, b)
+
+
 def index_of(item: list[str]) -> tuple[dict, dict, dict]:
     """Where each word, each two words in a row and each two words run together stand in item."""
     where: dict[str, list[int]] = {}
@@ -296,15 +303,17 @@ def index_of(item: list[str]) -> tuple[dict, dict, dict]:
     return where, pairs, {item[i] + item[i + 1]: i for i in range(len(item) - 1)}
 
 
-def longest_run(item: list[str], lines: list[list[tuple[str, str]]], enough: int = 1 << 30, index: tuple | None = None) -> int:
+def longest_run(item: list[str], lines: list[list[tuple[str, str]]], enough: int = 1 << 30, index: tuple | None = None, loose: bool = False) -> int:
     """Words of item that the page carries in a row; lines: (folded, written) words in reading order.
 
     A state is the next item word awaited; its value the words carried so far. States at the end of a
     line go on at the beginning of the next one, and from two words on also behind SET_IN lines.
     A short word a letter off counts where the run goes on behind it, as it may as well be another word.
+    A run begins with three words as printed; with loose, also with misread and broken ones or one before set-in lines.
     """
     n = len(item)
     where, pairs, joined = index or index_of(item)
+    sure, least = (0, 0) if loose else (3, 1)  # words from which on misread ones are taken, and more than which go on behind set-in lines
     ends: list[tuple[dict, dict]] = []  # per line: states, and states with a word begun: (awaited, begun) -> words
     best = 0
     for line in lines:
@@ -314,10 +323,10 @@ def longest_run(item: list[str], lines: list[list[tuple[str, str]]], enough: int
             states, begun = dict(ends[-1][0]), dict(ends[-1][1])
         for s, b in ends[-1 - SET_IN : -1]:
             for i, r in s.items():
-                if r > 1 and r > states.get(i, 0):
+                if r > least and r > states.get(i, 0):
                     states[i] = r
             for k, r in b.items():
-                if r > 1 and r > begun.get(k, 0):
+                if (r > least or loose) and r > begun.get(k, -1):
                     begun[k] = r
         last, opened = len(line) - 1, {}
         skip: dict[int, int] = {}  # states that a word read in two takes effect one word later
@@ -327,9 +336,9 @@ def longest_run(item: list[str], lines: list[list[tuple[str, str]]], enough: int
             unsure: dict[int, int] = {}
             if k == 0:
                 for (i, head), r in begun.items():
-                    if _near(fold(head + raw), item[i]) and r + 1 > new.get(i + 1, 0):
+                    if _whole(fold(head + raw), item[i], r) and r + 1 > new.get(i + 1, 0):
                         new[i + 1] = r + 1
-            if k + 1 >= last or line[k + 1][0] in joined:
+            if loose or k + 1 >= last or line[k + 1][0] in joined:
                 for i in where.get(f, ()):
                     r = states.get(i, 0) + 1
                     if r > new.get(i + 1, 0):
@@ -346,8 +355,8 @@ def longest_run(item: list[str], lines: list[list[tuple[str, str]]], enough: int
                 r = states.get(i, 0) + 2
                 if r > new.get(i + 2, 0):
                     new[i + 2] = r
-            for i, r in states.items():
-                if i >= n or r < 3:
+            for i, r in ({**dict.fromkeys(range(n), 0), **states} if loose else states).items():
+                if i >= n or r < sure:
                     continue
                 if item[i] != f:
                     if _near(f, item[i]):
@@ -356,18 +365,18 @@ def longest_run(item: list[str], lines: list[list[tuple[str, str]]], enough: int
                     elif i + 1 < n and len(f) > len(item[i]) and _near(f, item[i] + item[i + 1]):
                         if r + 2 > new.get(i + 2, 0):
                             new[i + 2] = r + 2
-                    elif k < last and len(f) < len(item[i]) and _near(fold(raw + line[k + 1][1]), item[i]):
+                    elif k < last and len(f) < len(item[i]) and _whole(fold(raw + line[k + 1][1]), item[i], r):
                         if r + 1 > skip.get(i + 1, 0):
                             skip[i + 1] = r + 1
-                    if len(item[i]) < 4 and r + 1 > new.get(i + 1, 0) and _short_near(f, item[i]):
+                    if r and len(item[i]) < 4 and r + 1 > new.get(i + 1, 0) and _short_near(f, item[i]):
                         unsure[i + 1] = r + 1
-                    if not f and r > new.get(i, 0):  # a mark that is no word
+                    if r and not f and r > new.get(i, 0):  # a mark that is no word
                         new[i] = r
             if k == last:
                 head = raw.rstrip(BREAKS + " ")
                 part = fold(head)
-                for i, r in states.items() if part else ():
-                    if i < n and len(part) <= len(item[i]) and (item[i].startswith(part) or (r >= 3 and len(part) > 3 and _near(part, item[i][: len(part)]))):
+                for i, r in ({**dict.fromkeys(range(n), 0), **states} if loose else states).items() if part else ():
+                    if i < n and len(part) <= len(item[i]) and (item[i].startswith(part) or (r >= sure and len(part) > 3 and _near(part, item[i][: len(part)]))):
                         if r > opened.get((i, head), -1):
                             opened[i, head] = r
             if new:
@@ -386,6 +395,12 @@ def longest_run(item: list[str], lines: list[list[tuple[str, str]]], enough: int
     return best
 
 
+def carries(item: list[str], lines: list[list[tuple[str, str]]], index: tuple) -> bool:
+    """Whether lines carry a leak of item: runs that may lack their beginning are read again with it."""
+    got = longest_run(item, lines, RUN, index)
+    return got >= RUN or (got >= NEARLY and longest_run(item, lines, RUN, index, loose=True) >= RUN)
+
+
 def leaks(pages: list[tuple], items: Items, folds: Folds) -> list[tuple]:
     """(page, item) ids of the leaks in a batch of pages (id, text, boxes)."""
     if not items.passages:
@@ -423,7 +438,7 @@ def leaks(pages: list[tuple], items: Items, folds: Folds) -> list[tuple]:
         if k not in shown:
             shown = {k: [[(folds[w][0], w) for w in ws] for ws in lines]}
         for a, z in parts:
-            if longest_run(items.words[i], shown[k][a:z], RUN, items.index[i]) >= RUN:
+            if carries(items.words[i], shown[k][a:z], items.index[i]):
                 out.append((page, items.ids[i]))
                 break
     return out

@@ -60,32 +60,6 @@ def test_short_misread_words():
     assert longest_run(folds, folded([page[0], "sketched many condemned bospital", *page[2:]])) == 13
 
 
-def test_candidates_with_few_intact_shingles():
-    item = "Some sixty sawyers from Rothby sketched the condemned hospital parish school although the timber of the condemned bridge"
-    block = leakage.Items([(203, item)])
-    read = lambda *lines: leakage.leaks([(1, "\n".join(lines), None)], block, leakage.Folds())
-    assert read(item.replace("sketched the", "sketched fhe").replace("although", "alzhough")) == [(1, 203)]
-    assert read(item.replace("sketched", "skezched").replace("although", "alzhough")) == [(1, 203)]
-    advert = lines_of(words(36))
-    assert read("Some sixty sawyers from", "Rothby sketched the condemned hospital", *advert, "parish school although the", "timber of the condemned") == [(1, 203)]
-    for size in range(4, 29):
-        r, n = leakage.rows_per_band(size, 13)
-        assert n * r <= leakage.HASHES and 1 - (1 - (4 / (13 + size - 4)) ** r) ** n >= 0.99
-
-
-def test_misread_and_broken_beginnings():
-    item = "Some sixty sawyers from Rothby sketched the condemned hospital parish school although the timber of the condemned bridge"
-    block = leakage.Items([(203, item)])
-    ws = item.split()
-    read = lambda *lines: leakage.leaks([(1, "\n".join(lines), None)], block, leakage.Folds())
-    assert read(" ".join(ws[:17]).replace("sawyers", "sawzers")) == [(1, 203)]
-    assert read(" ".join(ws[1:16]).replace("sixty", "sizty")) == [(1, 203)]
-    assert read("Mr Dunlgar saw saw-", "yers " + " ".join(ws[3:17]), "and left") == [(1, 203)]
-    assert read("Mr Dunlgar saw saw", "yers " + " ".join(ws[3:17]), "and left") == [(1, 203)]
-    assert read("Mr Dunlgar saw sawyers", "WANTED a steady man for round", "Apply Mill Street", " ".join(ws[3:17]), "and left") == [(1, 203)]
-    assert read(" ".join(ws[3:17])) == [] and read("Mr Dunlgar saw many", " ".join(ws[3:17]), "and left") == []
-
-
 def test_reading_order_of_columns():
     left, right = ["aaaa bbbb cccc", "dddd eeee ffff", "gggg hhhh iiii"], ["1111 2222 3333", "4444 5555 6666", "7777 8888 9999"]
     text = "\n".join([f"{left[0]}  {right[0]}", left[1], right[1], f"{left[2]} {right[2]}", "jjjj kkkk llll", "0000 1212 1313"])

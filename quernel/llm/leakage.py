@@ -23,6 +23,8 @@ tables give an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,34 +34,80 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.reading import BREAKS, fold, reading_order
+from quernel.runtime import cut
 
-#: Words in a row that make a leak, words of a shingle, steps between passages of an item.
-RUN, SHINGLE, STEP = 15, 3, 1
+#: Words in a row that make a leak, words of a shingle.
+RUN, SHINGLE = 15, 3
+#: Shingles of a passage.
+SPAN = RUN - SHINGLE + 1
 #: Hash functions, and the share of a passage's shingles that a window has to hold.
 #: (Three words and this share, as broken and misread words count as printed: of longer shingles too few survive.)
 HASHES, CONTAINED = 60, 0.6
-#: Characters of items that are broadcast at a time.
-BLOCK_CHARS = 8_000_000
-#: Lines that may be set in between the lines of a passage.
-SET_IN = 8
-#: Lines before and after candidate windows that are read word by word as well; pages that a task looks up at a time.
-MARGIN, PAGES = 10, 200
+NEEDED = math.ceil(CONTAINED * SPAN - 1e-9)
+#: Characters of items that are broadcast at a time (their tables take some 100 bytes a character in each worker).
+BLOCK_CHARS = 1_000_000
+#: Lines in a row that may be set in between the lines of a passage; more of them are an article of their own.
+SET_IN = 12
+#: Lines before and after candidate windows that are read word by word as well: a window lacks no more words of a passage than
+#: NEEDED shingles leave, each may stand on a line of its own, and something may be set in on the way.
+MARGIN = SET_IN + RUN - (NEEDED + SHINGLE - 1)
+#: Pages that a task looks up at a time.
+PAGES = 200
 
 
 # ---------------------------------------------------------------- words
 
 
 class Folds(dict):
-    """Words to (folded letters, hash), kept for words seen before."""
+    """Words to their folded letters, kept for words seen before."""
 
     KEPT = 1 << 18
 
-    def __missing__(self, word: str) -> tuple[str, int]:
+    def __missing__(self, word: str) -> str:
         f = fold(word)
-        got = f, xxhash.xxh64_intdigest(f)
         if len(self) < self.KEPT:
-            self[word] = got
-        return got
+            self[word] = f
+        return f
+
+
+class Hashes(Folds):
+    """Words to the hash of their folded letters; 0 where there are none."""
+
+    def __missing__(self, word: str) -> int:
+        f = fold(word)
+        h = xxhash.xxh64_intdigest(f) | 1 if f else 0
+        if len(self) < self.KEPT:
+            self[word] = h
+        return h
+
+
+def _hashed(words: list[str], hashes: Hashes) -> np.ndarray:
+    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+
+
+class Seen:
+    """A sorted array of hashes, with bits that tell most others apart by one look."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - max(16, int(len(keys) * 16).bit_length()))
+        self.bits = np.zeros(1 << int(np.uint64(64) - self.shift), bool)
+        self.bits[self._bit(keys)] = True
+
+    def _bit(self, x: np.ndarray) -> np.ndarray:
+        return (x * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of x are there, where the first of each stands)"""
+        maybe = np.flatnonzero(self.bits[self._bit(x)])
+        order = np.argsort(x[maybe], kind="stable")  # neighbours in the array are looked up together
+        maybe = maybe[order]
+        at = np.searchsorted(self.keys, x[maybe])
+        at[at == len(self.keys)] = 0
+        same = self.keys[at] == x[maybe]
+        maybe, at = maybe[same], at[same]
+        order = np.argsort(maybe, kind="stable")
+        return maybe[order], at[order]
 
 
 def _shingles(h: np.ndarray) -> np.ndarray:
@@ -86,10 +134,10 @@ def _minhash(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def rows_per_band(size: int, query: int) -> int:
-    """For windows that keep `size` shingles: the most rows at which a pair at the least containment is found with 80 % or more (a leak has many such pairs)."""
+    """For windows that keep `size` shingles: the most rows at which a pair at the least containment is found with 98 % or more."""
     least = max(1.0, CONTAINED * query)
     j = least / (query + size - least) if size >= least else 0.0
-    return next((r for r in (4, 3, 2) if 1 - (1 - j**r) ** (HASHES // r) >= 0.8), 1)
+    return next((r for r in (4, 3, 2) if 1 - (1 - j**r) ** (HASHES // r) >= 0.98), 1)
 
 
 #: Partitions by the number of kept shingles.
@@ -109,116 +157,151 @@ def _bands(sig: np.ndarray, r: int) -> np.ndarray:
 
 
 class Items:
-    """A block of items: passages, their shingles and bands, and the words for reading."""
+    """A block of items: their shingles, the bands of their passages, and the words for reading."""
 
     def __init__(self, rows: list[tuple]):
-        folds = Folds()
+        hashes = Hashes()
         self.ids = [r[0] for r in rows]
-        self.raw = [[w for w in (r[1] or "").split() if folds[w][0]] for r in rows]
-        self.words = [[folds[w][0] for w in ws] for ws in self.raw]
-        passages, owner = [], []
-        for i, ws in enumerate(self.raw):
-            sh = _shingles(np.array([folds[w][1] for w in ws], np.uint64))
-            n = RUN - SHINGLE + 1
-            if len(ws) >= RUN:
-                for a in sorted({*range(0, len(sh) - n + 1, STEP), len(sh) - n}):
-                    passages.append(np.unique(sh[a : a + n]))
-                    owner.append(i)
-        self.owner = np.array(owner, np.int64)
-        self.passages = passages
-        self.universe = np.unique(np.concatenate(passages)) if passages else np.zeros(0, np.uint64)
-        # Shingles of each passage by their place in the universe, filled up with the place behind it.
-        self.places = np.full((len(passages), RUN - SHINGLE + 1), len(self.universe)) if passages else None
-        for row, q in zip(self.places if passages else (), passages):
-            row[: len(q)] = np.searchsorted(self.universe, q)
-        self.needed = np.ceil(CONTAINED * np.array([len(q) for q in passages]) - 1e-9)
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        if passages:
-            starts = np.cumsum([0, *map(len, passages[:-1])])
-            sig = _minhash(np.concatenate(passages), starts)
-            for r in {rows_per_band(min(s, 2 * RUN), RUN - SHINGLE + 1) for s in SIZES}:
-                b = _bands(sig, r)
-                order = np.argsort(b.ravel(), kind="stable")
-                self.tables[r] = b.ravel()[order], np.repeat(np.arange(len(passages)), b.shape[1])[order]
-
-    def candidates(self, windows: list[np.ndarray]) -> list[tuple[int, int]]:
-        """(window, item) pairs that agree in a band and hold enough of a passage."""
-        if not windows or not self.passages:
-            return []
-        found: set[tuple[int, int]] = set()
-        sizes = np.array([len(w) for w in windows])
-        sig = _minhash(np.concatenate(windows), np.cumsum([0, *sizes[:-1]]))
-        kept = np.zeros((len(windows), len(self.universe) + 1), bool)
-        kept[np.repeat(np.arange(len(windows)), sizes), np.searchsorted(self.universe, np.concatenate(windows))] = True
+        self.raw = [[w for w in (r[1] or "").split() if hashes[w]] for r in rows]
+        self.words = [[fold(w) for w in ws] for ws in self.raw]
+        self.index = [word_index(ws) for ws in self.words]
+        sets = [_shingles(_hashed(ws, hashes)) if len(ws) >= RUN else np.zeros(0, np.uint64) for ws in self.raw]
+        self.lengths = np.array([len(x) for x in sets], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        self.universe, self.places = np.unique(flat, return_inverse=True)
+        self.tables: dict[int, tuple[Seen, np.ndarray, np.ndarray]] = {}
+        if not len(flat):
+            return
+        self.known = Seen(self.universe)
+        begins = np.concatenate([np.arange(a, a + n - SPAN + 1) for a, n in zip(self.starts.tolist(), self.lengths.tolist()) if n])
+        owner = np.repeat(np.arange(len(sets)), np.maximum(0, self.lengths - SPAN + 1))
+        # The different shingles that a window has in common with an item at least, if it holds enough of one of its passages.
+        order = np.lexsort((np.arange(len(flat)), flat))
+        earlier = np.full(len(flat), -1)
+        same = flat[order][1:] == flat[order][:-1]
+        earlier[order[1:][same]] = order[:-1][same]
+        repeats = sum((earlier[begins + j] >= begins).astype(np.int64) for j in range(SPAN))
+        self.least = np.full(len(sets), 1 << 30)
+        np.minimum.at(self.least, owner, np.maximum(1, NEEDED - repeats))
+        # Item and shingle pairs as bits: what is not there is told by one look.
+        self.bits = max(16, int(len(flat) * 16).bit_length())
+        self.member = np.zeros(1 << self.bits, bool)
+        self.member[self._bit(np.repeat(np.arange(len(sets)), self.lengths), self.places)] = True
+        sig = _minhash(flat, np.arange(len(flat)))
+        for step in (1, 2, 4, 5):  # the minima of 1 + 1, + 2, + 4, + 5 = SPAN shingles in a row
+            sig[:-step] = np.minimum(sig[:-step], sig[step:])
+        sig = sig[begins]
+        for r in {rows_per_band(min(s, 2 * RUN), SPAN) for s in SIZES}:
+            b = _bands(sig, r)
+            keys, owners = b.ravel(), np.repeat(owner, b.shape[1])
+            order = np.lexsort((owners, keys))
+            keys, owners = keys[order], owners[order]
+            once = np.r_[True, (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])]
+            keys, owners = keys[once], owners[once]
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            self.tables[r] = Seen(keys[first]), np.r_[first, len(keys)], owners
+
+    def _bit(self, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+        x = item.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return x >> np.uint64(64 - self.bits)
+
+    def candidates(self, values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs that agree in a band and where the window holds enough of a passage of the item.
+
+        Window k holds the places values[begins[k] : begins[k] + sizes[k]] of the universe.
+        """
+        if not len(begins):
+            return begins, begins
+        at = _spread(begins, sizes)
+        sig = _minhash(self.universe[values[at]], np.cumsum(sizes) - sizes)
+        held = np.unique(np.repeat(np.arange(len(begins)), sizes) * len(self.universe) + values[at])
+        out: list[np.ndarray] = []
         low = 0
         for high in SIZES:
-            at = np.flatnonzero((sizes > low) & (sizes <= high))
-            r = rows_per_band(min(high, 2 * RUN), RUN - SHINGLE + 1)
+            of_size = np.flatnonzero((sizes > low) & (sizes <= high))
+            r = rows_per_band(min(high, 2 * RUN), SPAN)
             low = high
-            if not len(at):
+            seen, firsts, owners = self.tables[r]
+            for c in range(0, len(of_size), 1 << 12):
+                some = of_size[c : c + (1 << 12)]
+                b = _bands(sig[some], r)
+                hit, key = seen.find(b.ravel())
+                pairs = np.unique(np.repeat(some[hit // b.shape[1]], firsts[key + 1] - firsts[key]) * len(self.ids) + owners[_spread(firsts[key], firsts[key + 1] - firsts[key])])
+                out.append(self._enough(*np.divmod(pairs, len(self.ids)), values, begins, sizes, held))
+        return np.divmod(np.unique(np.concatenate(out)), len(self.ids))
+
+    def _enough(self, w: np.ndarray, i: np.ndarray, places: np.ndarray, begins: np.ndarray, sizes: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """window * items + item of the pairs where the window holds NEEDED of SPAN shingles in a row of the item."""
+        kept = []
+        for c in range(0, len(w), 1 << 15):
+            x, y = w[c : c + (1 << 15)], i[c : c + (1 << 15)]
+            bits = self.member[self._bit(np.repeat(y, sizes[x]), places[_spread(begins[x], sizes[x])])]
+            common = np.add.reduceat(bits, np.cumsum(sizes[x]) - sizes[x], dtype=np.int64)
+            on = common >= self.least[y]
+            x, y = x[on], y[on]
+            if not len(x):
                 continue
-            keys, owners = self.tables[r]
-            b = _bands(sig[at], r)
-            wanted = b.ravel()
-            left = np.searchsorted(keys, wanted)
-            left[left == len(keys)] = 0
-            hit = np.flatnonzero(keys[left] == wanted)
-            window = at[hit // b.shape[1]]
-            pairs = _pairs(window, left[hit], np.searchsorted(keys, wanted[hit], side="right"), owners, len(self.passages))
-            for c in range(0, len(pairs), 1 << 18):
-                w, p = np.divmod(pairs[c : c + (1 << 18)], len(self.passages))
-                enough = kept[w[:, None], self.places[p]].sum(1) >= self.needed[p]
-                both = np.unique(w[enough] * len(self.ids) + self.owner[p[enough]])
-                found.update(zip((both // len(self.ids)).tolist(), (both % len(self.ids)).tolist()))
-        return sorted(found)
-
-
-def _pairs(window: np.ndarray, left: np.ndarray, right: np.ndarray, owners: np.ndarray, width: int) -> np.ndarray:
-    """window * width + passage of every match, each once, in order."""
-    n = right - left
-    at = np.repeat(left - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-    return np.unique(np.repeat(window, n) * width + owners[at])
+            n = self.lengths[y]
+            code = np.repeat(x, n) * len(self.universe) + self.places[_spread(self.starts[y], n)]
+            at = np.searchsorted(held, code)
+            at[at == len(held)] = 0
+            sums = np.r_[0, np.cumsum(held[at] == code)]
+            first = np.cumsum(n) - n
+            best = np.maximum.reduceat(sums[_spread(first + SPAN, n - SPAN + 1)] - sums[_spread(first, n - SPAN + 1)], np.cumsum(n - SPAN + 1) - (n - SPAN + 1))
+            kept.append((x * len(self.ids) + y)[best >= NEEDED])
+        return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], ..., first[0] + n[0] - 1, first[1], ..."""
+    if not len(n):
+        return np.zeros(0, np.int64)
+    return np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
 
 
 # ---------------------------------------------------------------- pages
 
 
-def _page_words(lines: list[list[str]], folds: Folds) -> tuple[np.ndarray, list[int]]:
-    """Hashes of the words of a page, words with a break mark at a line's end joined, and the line of each."""
-    out: list[int] = []
-    at: list[int] = []
+def _page_words(lines: list[list[str]]) -> tuple[list[str], list[int]]:
+    """The words of a page, those with a break mark at a line's end joined, and how many begin in each line."""
+    words: list[str] = []
+    counts: list[int] = []
     held = ""
-    for n, ws in enumerate(lines):
+    for ws in lines:
         if held:
             ws = [held + ws[0], *ws[1:]]
             held = ""
-        if len(ws[-1]) > 1 and ws[-1][-1] in BREAKS:
-            held = ws[-1][:-1]
+        last = ws[-1]
+        if last[-1] in BREAKS and len(last) > 1:
+            held = last[:-1]
             ws = ws[:-1]
-        got = [h for f, h in [folds[w] for w in ws] if f]
-        out += got
-        at += [n] * len(got)
+        words += ws
+        counts.append(len(ws))
     if held:
-        out.append(folds[held][1])
-        at.append(len(lines) - 1)
-    return np.array(out, np.uint64), at
+        words.append(held)
+        counts[-1] += 1
+    return words, counts
 
 
-def _windows(h: np.ndarray, universe: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(first word, kept shingles) of the windows of 2 * RUN words that keep enough of the passages' shingles to matter."""
+def _windows(h: np.ndarray, ends: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of 2 * RUN words, within pages, that keep enough of the passages' shingles to matter.
+
+    h: hashes of the words of all pages, page p ending before ends[p]. Gives the places of the kept
+    shingles in the universe, and of each window its first kept one, how many it has, and its first word.
+    """
     sh = _shingles(h)
-    if not len(sh) or not len(universe):
-        return []
-    at = np.searchsorted(universe, sh)
-    at[at == len(universe)] = 0
-    kept = np.flatnonzero(universe[at] == sh)
-    least = CONTAINED * (RUN - SHINGLE + 1)
-    if len(kept) < least:
-        return []
-    firsts = np.arange(0, max(1, len(h) - RUN), RUN)
-    x, y = np.searchsorted(kept, firsts), np.searchsorted(kept, firsts + (2 * RUN - SHINGLE + 1))
-    held = sh[kept]
-    return [(int(firsts[i]), held[x[i]:y[i]]) for i in np.flatnonzero(y - x >= least)]
+    page = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    whole = page[: len(sh)] == page[SHINGLE - 1 :]
+    kept, places = items.known.find(sh)
+    inside = whole[kept]
+    kept, places = kept[inside], places[inside]
+    begins = np.r_[0, ends[:-1]]
+    firsts = np.concatenate([np.arange(a, max(a + 1, z - RUN), RUN) for a, z in zip(begins.tolist(), ends.tolist())]) if len(ends) else begins
+    last = np.minimum(firsts + (2 * RUN - SHINGLE + 1), ends[np.searchsorted(ends, firsts, side="right")])
+    x, y = np.searchsorted(kept, firsts), np.searchsorted(kept, last)
+    on = y - x >= NEEDED
+    return places, x[on], (y - x)[on], firsts[on]
 
 
 class _Near(dict):
@@ -276,7 +359,15 @@ def _short_near(a: str, b: str) -> bool:
     return any(b[:k] + b[k + 1 :] == a for k in range(y))
 
 
-def longest_run(item: list[str], lines: list[list[tuple[str, str]]], enough: int = 1 << 30) -> int:
+def word_index(item: list[str]) -> tuple[dict[str, list[int]], dict[str, int]]:
+    """Where each word of an item stands, and each two neighbours run together."""
+    where: dict[str, list[int]] = {}
+    for i, w in enumerate(item):
+        where.setdefault(w, []).append(i)
+    return where, {item[i] + item[i + 1]: i for i in range(len(item) - 1)}
+
+
+def longest_run(item: list[str], lines: list[list[tuple[str, str]]], enough: int = 1 << 30, index: tuple | None = None) -> int:
     """Words of item that the page carries in a row; lines: (folded, written) words in reading order.
 
     A state is the next item word awaited; its value the words carried so far. States at the end of a
@@ -284,23 +375,21 @@ def longest_run(item: list[str], lines: list[list[tuple[str, str]]], enough: int
     A short word a letter off counts where the run goes on behind it, as it may as well be another word.
     """
     n = len(item)
-    where: dict[str, list[int]] = {}
-    for i, w in enumerate(item):
-        where.setdefault(w, []).append(i)
-    joined = {item[i] + item[i + 1]: i for i in range(n - 1)}
-    ends: list[tuple[dict, dict]] = []  # per line: states, and states with a word begun: (awaited, begun) -> words
+    where, joined = index or word_index(item)
+    # Per line: states, and states with a word begun, (awaited, begun) -> words; both again as far as set-in lines may follow.
+    ends: list[tuple[dict, dict, list, list]] = []
     best = 0
     for line in lines:
         states: dict[int, int] = {}
         begun: dict[tuple[int, str], int] = {}
         if ends:
             states, begun = dict(ends[-1][0]), dict(ends[-1][1])
-        for s, b in ends[-1 - SET_IN : -1]:
-            for i, r in s.items():
-                if r > 1 and r > states.get(i, 0):
+        for _, _, s, b in ends[-1 - SET_IN : -1]:
+            for i, r in s:
+                if r > states.get(i, 0):
                     states[i] = r
-            for k, r in b.items():
-                if r > 1 and r > begun.get(k, 0):
+            for k, r in b:
+                if r > begun.get(k, 0):
                     begun[k] = r
         last, opened = len(line) - 1, {}
         skip: dict[int, int] = {}  # states that a word read in two takes effect one word later
@@ -355,37 +444,49 @@ def longest_run(item: list[str], lines: list[list[tuple[str, str]]], enough: int
                 if r > new.get(i, 0):
                     new[i] = r
             states = new
-        ends.append((states, opened))
+        ends.append((states, opened, [x for x in states.items() if x[1] > 1], [x for x in opened.items() if x[1] > 1]))
         if len(ends) > SET_IN + 2:
-            ends[-SET_IN - 3] = ({}, {})
+            ends[-SET_IN - 3] = ({}, {}, [], [])
     return best
 
 
-def leaks(pages: list[tuple], items: Items, folds: Folds) -> list[tuple]:
+def leaks(pages: list[tuple], items: Items, hashes: Hashes, folds: Folds) -> list[tuple]:
     """(page, item) ids of the leaks in a batch of pages (id, text, boxes)."""
-    if not items.passages:
+    if not items.tables:
         return []
     read: list[tuple] = []
-    windows: list[np.ndarray] = []
-    of: list[tuple[int, int]] = []
+    words: list[str] = []
+    counts: list[int] = []
+    ends: list[int] = []
     for page, text, boxes in pages:
-        if not text:
-            continue
-        lines = [ws for line in reading_order(text, boxes) if (ws := line.split())]
+        lines = [ws for line in reading_order(text, boxes) if (ws := line.split())] if text else []
         if not lines:
             continue
-        h, at = _page_words(lines, folds)
-        got = _windows(h, items.universe)
-        if got:
-            of += [(len(read), a) for a, _ in got]
-            windows += [w for _, w in got]
-            read.append((page, lines, at))
+        some, n = _page_words(lines)
+        read.append((page, lines, len(counts)))
+        words += some
+        counts += n
+        ends.append(len(words))
+    if not read:
+        return []
+    h = _hashed(words, hashes)
+    real = h != 0
+    line = np.repeat(np.arange(len(counts)), counts)[real]
+    ends_real = np.r_[0, np.cumsum(real)][np.array(ends)]
+    h = h[real]
+    if len(h) < SHINGLE:
+        return []
+    kept = np.diff(ends_real, prepend=0) > 0
+    read, ends_real = [r for r, k in zip(read, kept) if k], ends_real[kept]
+    places, begins, sizes, firsts = _windows(h, ends_real, items)
+    window, item = items.candidates(places, begins, sizes)
     # The lines around the candidate windows of a page and an item, windows that touch taken together.
+    first = firsts[window]
+    of = np.searchsorted(ends_real, first, side="right")
+    a = line[first] - MARGIN
+    z = line[np.minimum(first + 2 * RUN, ends_real[of]) - 1] + MARGIN + 1
     spans: dict[tuple[int, int], list[list[int]]] = {}
-    for w, i in items.candidates(windows):
-        k, first = of[w]
-        at = read[k][2]
-        a, z = max(0, at[first] - MARGIN), at[min(len(at), first + 2 * RUN) - 1] + MARGIN + 1
+    for k, i, a, z in zip(of.tolist(), item.tolist(), a.tolist(), z.tolist()):
         known = spans.setdefault((k, i), [])
         if known and a <= known[-1][1]:
             known[-1][1] = z
@@ -393,9 +494,9 @@ def leaks(pages: list[tuple], items: Items, folds: Folds) -> list[tuple]:
             known.append([a, z])
     out = []
     for (k, i), parts in spans.items():
-        page, lines, _ = read[k]
+        page, lines, start = read[k]
         for a, z in parts:
-            if longest_run(items.words[i], [[(folds[w][0], w) for w in ws] for ws in lines[a:z]], RUN) >= RUN:
+            if longest_run(items.words[i], [[(folds[w], w) for w in ws] for ws in lines[max(0, a - start) : z - start]], RUN, items.index[i]) >= RUN:
                 out.append((page, items.ids[i]))
                 break
     return out
@@ -409,19 +510,40 @@ def find(pages: DataFrame, row_id: str, text: str, boxes: DataFrame, items: Data
     flat = boxes.select(F.col(row_id).alias("_id"), F.array(*[F.coalesce(F.col(c).cast("int"), F.lit(-1)) for c in ("line_no", "x0", "y0", "x1", "y1")]).alias("_b"))
     flat = flat.filter(F.col("_id").isNotNull()).groupBy("_id").agg(F.flatten(F.collect_list("_b")).alias("_boxes"))
     rows = pages.select(F.col(f"`{row_id}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text")).filter("_text != ''").join(flat, "_id", "left")
-    kinds = f"id {pages.schema[row_id].dataType.simpleString()}, item {items.schema[item_id].dataType.simpleString()}"
+    kind = pages.schema[row_id].dataType.simpleString()
+    kinds = f"id {kind}, item {items.schema[item_id].dataType.simpleString()}"
+    if blocks > 1:
+        # Boxes are joined and pages put in order once; every block of items then reads the ordered pages.
+        rows = cut(rows.mapInPandas(_ordered, f"_id {kind}, _text string")).withColumn("_boxes", F.lit(None).cast("array<int>"))
     out = None
     for b in range(blocks):
         part = items.filter(F.col(item_text).isNotNull() & (F.pmod(F.xxhash64(item_id), F.lit(blocks)) == b)).select(item_id, item_text).collect()
-        given = spark.sparkContext.broadcast([tuple(r) for r in sorted(part)])
+        given, name = spark.sparkContext.broadcast([tuple(r) for r in sorted(part)]), uuid.uuid4().hex
 
-        def run(it: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
-            block, folds = Items(given.value), Folds()
+        def run(it: Iterator[pd.DataFrame], given=given, name=name) -> Iterator[pd.DataFrame]:
+            block, hashes, folds = _prepared(name, given)
             for pdf in it:
                 for a in range(0, len(pdf), PAGES):
                     part = pdf.iloc[a : a + PAGES]
-                    yield pd.DataFrame(leaks(list(zip(part["_id"], part["_text"], part["_boxes"])), block, folds), columns=["id", "item"])
+                    yield pd.DataFrame(leaks(list(zip(part["_id"], part["_text"], part["_boxes"])), block, hashes, folds), columns=["id", "item"])
 
         one = rows.mapInPandas(run, kinds)
         out = one if out is None else out.unionByName(one)
     return out.distinct().select(F.col("id").alias(row_id), F.col("item").alias(item_id))
+
+
+def _ordered(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts with their lines in reading order."""
+    for pdf in it:
+        yield pd.DataFrame({"_id": pdf["_id"], "_text": ["\n".join(reading_order(t, b)) for t, b in zip(pdf["_text"], pdf["_boxes"])]})
+
+
+_PREPARED: dict[str, tuple[Items, Hashes, Folds]] = {}
+
+
+def _prepared(name: str, given) -> tuple[Items, Hashes, Folds]:
+    """The tables of a block, made once by each worker and kept until it gets another block."""
+    if name not in _PREPARED:
+        _PREPARED.clear()
+        _PREPARED[name] = Items(given.value), Hashes(), Folds()
+    return _PREPARED[name]

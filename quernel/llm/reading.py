@@ -31,15 +31,21 @@ def fold(word: str) -> str:
     return w.translate(LETTERS)
 
 
+def _middle(ordered: np.ndarray) -> float:
+    """The median of a sorted array."""
+    n = len(ordered)
+    return float(ordered[n // 2]) if n % 2 else (float(ordered[n // 2 - 1]) + float(ordered[n // 2])) / 2
+
+
 def _columns(x0: np.ndarray, width: float) -> list[float]:
     """Where columns begin: clusters of left edges."""
     if not len(x0):
         return []
     xs = np.sort(x0)
     cuts = np.flatnonzero(np.diff(xs) > 6 * width) + 1
-    groups = np.split(xs, cuts)
     least = max(2, len(xs) // 50)
-    kept = [float(np.median(g)) for g in groups if len(g) >= least]
+    edges = [0, *cuts.tolist(), len(xs)]
+    kept = [_middle(xs[a:z]) for a, z in zip(edges, edges[1:]) if z - a >= least]
     return kept or [float(xs[0])]
 
 
@@ -76,7 +82,7 @@ def reading_order(text: str, boxes: np.ndarray | None) -> list[str]:
     b = b[firsts].astype(float)
     left, right, top = np.minimum(b[:, 1], b[:, 3]), np.maximum(b[:, 1], b[:, 3]), np.minimum(b[:, 2], b[:, 4])
     numbers = nos.tolist()
-    width = float(np.median((right - left) / np.array([max(1, len(lines[n - 1].rstrip())) for n in numbers]))) or 1.0
+    width = _middle(np.sort((right - left) / np.array([max(1, len(lines[n - 1].rstrip())) for n in numbers]))) or 1.0
     starts = _columns(left, width)
     if len(starts) == 1 and (np.diff(top) >= 0).all():
         return lines
@@ -100,7 +106,7 @@ def reading_order(text: str, boxes: np.ndarray | None) -> list[str]:
 def _settle(lost: list[int], lines: list[str], where: dict, placed: list, columns: int) -> list[tuple[int, float, int, str]]:
     """Lines without a box: into the widest hole of a column near the lines around them."""
     tops = [sorted({p[1] for p in placed if p[0] == c}) for c in range(columns)]
-    steps = [float(np.median(np.diff(t))) if len(t) > 2 else 0.0 for t in tops]
+    steps = [_middle(np.sort(np.diff(t))) if len(t) > 2 else 0.0 for t in tops]
     holes = []
     for c, t in enumerate(tops):
         if steps[c] > 0:

@@ -1,11 +1,17 @@
 """Pages made of repeated keywords, link addresses or product tags (problem 10).
 
 Method: line shapes. A page's lines are cut at wide gaps and each piece is reduced to a shape: its
-counts of words, capitals, separators, links and tags, of words that make sentences (articles,
-prepositions, auxiliaries) and of words that the page keeps repeating. Pieces are grouped by shape;
-shapes that are no sentences (links, tags, or repeated words without a single sentence word) carry
-their words, and a page is flagged where they carry most of its words. Reports, songs and price
-lists keep their sentence words, whatever they repeat, and so stay below.
+words, its shares of capitals, separators, links, tags and figures, of connectors (the short words
+that hold a sentence together) and of words that the page repeats close by, each as a level. Pieces
+are grouped by shape. Some shapes are no sentences: links or tags with hardly a connector, and
+repeated words with hardly a connector and no figure. A page is flagged where a few of those shapes
+carry most of its words. Reports, songs and price lists have connectors or figures, whatever they
+repeat.
+
+No list of words is used. A connector is a short word in lower case, unless there are only a few
+different ones of them around: prose of any language mixes many, "new tea, new hats" has one. A word
+is repeated if it comes again within NEAR words, so that neither the length of a page nor the number
+of its keywords matters.
 
 Pages are independent rows: nothing is shuffled. Whole texts are read, whatever their length.
 
@@ -23,88 +29,118 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that make sentences, in English, German and French.
-SENTENCE_WORDS = frozenset(
-    "the of and to a an in for that was be had it at by who mr mrs his her with on from is are were not nor no or as but if so when where which "
-    "while before after since because though although would could should have has been both all only once long into over under near upon they he "
-    "she this these those there than then until without within about between said did do does him them i we you "
-    "der die das und den von vom zum zur dass wurde worden werden war waren sei seien hat haben habe hätten hatte nicht für am im an auf bei mit "
-    "nach vor aus zu als weil obwohl um des dem ein eine einen einer eines herr frau wenn wie noch nur sich es er sie ich wir "
-    "le la les de du et au aux que qui un une dans est été sont avait par pour sur ne se ce cette sa son ses leur avec sans mais ou où avant "
-    "après il elle nous vous je".split()
-)
-LINK = re.compile(
-    r"^h..ps?:|://|^www\.|^w.w\.|\?it.m=|\.[a-z]{2,}/|^[\w-]+\.[\w.-]*\.\w{2,}|^[^\W_]{4,}[\w-]*\d*\.(?:com|org|net|test|example|invalid|info|biz|de|fr|uk)\b|^\S+/\S+/\S+", re.I
-)
-TAG = re.compile(r"^[|]?#\w|^\|$|\w\(\w+\)\W*$|^no\.$|^\d+/\d+\W*$")
+LINK = re.compile(r"://|^w\w?w\.|\S/\S+/\S|[^\W\d_][\w-]*[.,][^\W\d_]{2,}/|^[\w-]{3,}\.[^\W\d_]{2,}\W*$|^(?:[\w-]+\.){2,}\w{2,}", re.I)
+TAG = re.compile(r"^\W*#\w|^[|]+$|\w\(\d+\)\W*$|^\d+/\d+\W*$")
 GAP = re.compile(r"\s{2,}|\t")
+EDGES = ".,;:!?\"'()[]-=¬—~»«„“”’"
 #: Letters that scanners take for one another, by the one they are counted as.
 LOOKALIKE = str.maketrans("0eca1ijtfſ5bh6nuyrq9x", "oooollllls" + "s" + "nnnn" + "vvv" + "ggk")
-#: A word is repeated from this many times, and this share of the page's words, on.
-REPEATS, REPEAT_SHARE = 4, 0.015
-#: Broken and misread pieces of a list are missed more often than sentences are taken for one, so the share that is
-#: counted falls short of the true one: this much counted stands for one half.
-DOMINATED = 0.4
+#: Letters of a connector at most.
+SHORT = 3
+#: In BLOCK words, FEW short words that make up this share of all short ones are no connectors.
+BLOCK, FEW, DOMINANT = 60, 3, 0.85
+#: A word is repeated if it comes again within so many words.
+NEAR = 120
+#: A page is flagged if not more than SHAPES shapes that are no sentences carry more than MOST of its words. Misread and broken
+#: pieces of a list are missed more often than sentences are taken for one, so that a little less than one half is counted for
+#: it. (Of 10,000 pages every one counts up to 0.41 or from 0.51 on, with 16 shapes at most.)
+SHAPES, MOST = 24, 0.46
 
 
 class Words(dict):
-    """(folded letters, sentence word, link, tag, capital, separators) of a word, kept for words seen before."""
+    """(folded letters, folded short word or "", link, tag, figure, capital, separators) of a word, kept for words seen before."""
 
     KEPT = 1 << 18
 
-    def __missing__(self, word: str) -> tuple[str, int, int, int, int, int]:
-        low = word.lower().strip(".,;:!?\"'()[]|-=¬—~ ")
-        letters = re.sub(r"[\W\d_]*\([^)]*\)|[^\w]", "", low)
-        fold = letters.translate(LOOKALIKE) if len(letters) > 2 and not letters.isdigit() and low not in SENTENCE_WORDS else ""
+    def __missing__(self, word: str) -> tuple:
+        link, tag = bool(LINK.search(word)), bool(TAG.search(word))
+        bare = word.strip(EDGES)
+        letters = "".join([c for c in word.lower() if c.isalpha()]).translate(LOOKALIKE)
+        short = not link and not tag and 0 < len(bare) <= SHORT and bare.isalpha() and bare == bare.lower()
+        digits = sum([c.isdigit() for c in bare])
+        figure = not link and not tag and digits > 0 and 2 * digits >= len(bare)
         seps = word.count(",") + word.count(";") + word.count("|") + word.count("#")
-        got = fold, int(low in SENTENCE_WORDS), int(bool(LINK.search(word))), int(bool(TAG.search(word))), int(word[:1].isupper()), seps
+        got = letters, letters if short else "", link, tag, figure, word[:1].isupper(), seps
         if len(self) < self.KEPT:
             self[word] = got
         return got
 
 
-def shapes(text: str, words: Words) -> list[tuple]:
-    """(words, capitals, separators, links, tags, sentence words, repeated words) of each piece, in order."""
+def _connectors(flat: list[tuple]) -> list[bool]:
+    """Which words hold sentences together: short ones, unless a few make up nearly all short words around."""
+    out = [False] * len(flat)
+    few = FEW * min(len(flat), BLOCK) // BLOCK
+    for a in range(0, len(flat), BLOCK):
+        first = max(0, min(a, len(flat) - BLOCK))  # the last block is as long as the others
+        counts = Counter([w[1] for w in flat[first : first + BLOCK] if w[1]])
+        most = counts.most_common(few)
+        ordinary = {k for k, _ in most} if sum([n for _, n in most]) >= DOMINANT * sum(counts.values()) else ()
+        for i in range(a, min(a + BLOCK, len(flat))):
+            w = flat[i][1]
+            out[i] = w != "" and w not in ordinary
+    return out
+
+
+def _repeated(flat: list[tuple], connectors: list[bool]) -> list[bool]:
+    out = [False] * len(flat)
+    last: dict[str, int] = {}
+    for i, (w, c) in enumerate(zip(flat, connectors)):
+        f = w[0]
+        if c or not f:
+            continue
+        j = last.get(f)
+        if j is not None and i - j <= NEAR:
+            out[i] = out[j] = True
+        last[f] = i
+    return out
+
+
+def _level(part: int, words: int) -> int:
+    """None, up to a fifth, a quarter, a half, or more of the words."""
+    return 0 if not part else 1 if 5 * part <= words else 2 if 4 * part <= words else 3 if 2 * part < words else 4
+
+
+def shapes(text: str, words: Words) -> Counter:
+    """Words of the page by shape: (words, and levels of capitals, separators, links, tags, figures, connectors, repeated words)."""
     pieces = [
         [words[w] for w in ws]
         for line in text.split("\n")
         for p in (GAP.split(line) if "  " in line or "\t" in line else (line,))
         if (ws := p.split())
     ]
-    counts = Counter([w[0] for p in pieces for w in p])
-    least = max(REPEATS, REPEAT_SHARE * sum(counts.values()))
-    often = {k for k, n in counts.items() if n >= least}
-    often.discard("")
-    out = []
+    flat = [w for p in pieces for w in p]
+    connectors = _connectors(flat)
+    repeated = _repeated(flat, connectors)
+    out: Counter = Counter()
+    at = 0
     for p in pieces:
-        folds, sentence, links, tags, capitals, seps = zip(*p)
-        out.append((len(p), sum(capitals), sum(seps), sum(links), sum(tags), sum(sentence), sum([f in often for f in folds])))
+        n = len(p)
+        _, _, links, tags, figures, capitals, seps = zip(*p)
+        parts = sum(capitals), sum(seps), sum(links), sum(tags), sum(figures), sum(connectors[at : at + n]), sum(repeated[at : at + n])
+        out[(min(n.bit_length(), 5), *[_level(x, n) for x in parts[:3]], 10 * parts[3] >= 3 * n, *[_level(x, n) for x in parts[4:]])] += n
+        at += n
     return out
 
 
 def no_sentence(shape: tuple) -> bool:
     """Whether a shape is one of links, tags or repeated keywords."""
-    n, _, _, links, tags, sentence, repeated = shape
-    if links:
-        return sentence * 4 <= n
-    if tags * 10 >= n * 3:
-        return sentence * 4 <= n
-    return sentence == 0 and repeated * 2 >= n
+    _, _, _, links, tags, figures, connectors, repeated = shape
+    if links or tags:
+        return connectors <= 2
+    return connectors <= 1 and repeated == 4 and not figures
 
 
 def judge(text: str | None, words: Words) -> tuple[int, int, int]:
-    """(words, words in shapes that are no sentences, number of such shapes) of a page."""
-    if not text:
-        return 0, 0, 0
-    found = shapes(text, words)
-    marked = [no_sentence(s) for s in found]
-    # A piece without sentence words beside a marked one goes on with it (misread or broken keywords).
-    near = [m or (s[5] == 0 and ((i > 0 and marked[i - 1]) or (i + 1 < len(marked) and marked[i + 1]))) for i, (m, s) in enumerate(zip(marked, found))]
-    groups = Counter()
-    for s, m in zip(found, near):
-        if m:
-            groups[s] += s[0]
-    return sum(s[0] for s in found), sum(groups.values()), len(groups)
+    """(words, words in shapes that are no sentences, the fewest such shapes that carry most of the page or else all) of a page."""
+    found = shapes(text, words) if text else Counter()
+    total = sum(found.values())
+    listed = sorted([n for s, n in found.items() if no_sentence(s)], reverse=True)
+    carried = few = 0
+    for n in listed:
+        carried, few = carried + n, few + 1
+        if carried > MOST * total:
+            break
+    return total, sum(listed), few
 
 
 def judge_pages(df: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -119,4 +155,5 @@ def judge_pages(df: DataFrame, row_id: str, text: str) -> DataFrame:
     kind = df.schema[row_id].dataType.simpleString()
     rows = df.select(F.col(f"`{row_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     out = rows.mapInPandas(run, f"id {kind}, words bigint, listed bigint, shapes bigint")
-    return out.select(F.col("id").alias(row_id), "words", "listed", "shapes", (F.col("listed") > DOMINATED * F.col("words")).alias("flagged"))
+    flagged = (F.col("listed") > MOST * F.col("words")) & (F.col("shapes") <= SHAPES)
+    return out.select(F.col("id").alias(row_id), "words", "listed", "shapes", flagged.alias("flagged"))

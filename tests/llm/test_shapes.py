@@ -1,4 +1,6 @@
-from quernel.llm.shapes import Words, judge, judge_pages
+import random
+
+from quernel.llm.shapes import MOST, SHAPES, Words, judge, judge_pages, shapes
 
 STORY = "The junior librarian of Old Brackwell insured the public harvest\nsupper early on Wednesday, and Mr Walumby feared that wages at\nthe tollgate turnpike had fallen since the constable left.\n"
 LINKS = "Cheap hats: quickmart71.test\nwww.oldshop-corsets.test/gents/178\nhttp://hats.oldshop.example/?item=22\n"
@@ -10,8 +12,8 @@ RESULTS = "Rothby 4, Aldmere 0; scorers Hill and Trent.\nThe match at Rothby dre
 
 
 def flagged(text):
-    words, listed, _ = judge(text, Words())
-    return listed > 0.4 * words
+    words, listed, few = judge(text, Words())
+    return listed > MOST * words and few <= SHAPES
 
 
 def test_pages():
@@ -26,6 +28,29 @@ def test_words_in_the_middle_of_long_texts_count():
     assert flagged(STORY + "word " * 3 + TAGS * 3000) and not flagged(TAGS + STORY * 3000)
 
 
+def test_many_keywords_and_few_words():
+    rnd = random.Random(4)
+    keywords = ["".join(rnd.choice("bdfgklmprstvz") + rnd.choice("aeiou") for _ in range(4)) for _ in range(60)]
+    stuffed = [k for k in keywords for _ in range(50)]
+    for i in range(0, len(stuffed), 600):  # each keyword comes again within some hundred words
+        part = stuffed[i : i + 600]
+        rnd.shuffle(part)
+        stuffed[i : i + 600] = part
+    assert flagged("\n".join(" ".join(stuffed[i : i + 6]) for i in range(0, len(stuffed), 6)))
+    assert flagged("cheap hats, cheap hats, cheap boots, cheap boots") and not flagged("cheap hats and boots")
+
+
+def test_prose_of_a_language_without_any_list():
+    italian = "Il vecchio sindaco di Bracciano ha detto che la riva del lago non è più\nsicura, ma chi vi abita da anni ne ha poca fede e va a vedere con gli altri.\n"
+    assert not flagged(italian) and not flagged(italian * 30)
+    assert flagged("cappelli nuovi Roma, cappelli nuovi\nPisa, cappelli nuovi Siena,\n" * 9)
+
+
+def test_shapes_are_grouped():
+    found = shapes(TAGS * 5 + STORY, Words())
+    assert sum(found.values()) == len((TAGS * 5 + STORY).split()) and max(found.values()) >= 5 * 10 and len(found) <= 6
+
+
 def test_query(spark):
     rows = [(1, KEYWORDS * 9), (2, None), (3, ""), (4, " \n\n "), (5, STORY), (1, KEYWORDS * 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as words", "2 as id")

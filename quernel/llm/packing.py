@@ -12,7 +12,7 @@ kept per piece.
 
 Edge cases: NULL and empty texts have 0 tokens and go into a container as they come. An item is
 divided only if it alone exceeds the capacity: into full containers and a rest, which is packed like
-any other item. Repeated rows are packed again. An empty table gives an empty result. Other columns
+any other item. Repeated rows are packed again, each for itself. An empty table gives an empty result. Other columns
 are not read.
 """
 
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,7 +100,7 @@ def pack(
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count, packer = _counter(vocabulary, pattern), BestFit(capacity, open_bins)
-        names: dict[int, str] = {}
+        task = TaskContext.get().partitionId() if TaskContext.get() else 0
         for pdf in it:
             out: list[tuple] = []
             for i, t in zip(pdf["id"], pdf["text"]):
@@ -107,15 +108,11 @@ def pack(
                 while True:
                     size = min(left, capacity)
                     b = packer.put(size)
-                    # A container is named by what it holds first.
-                    name = names.setdefault(b, f"{i}.{piece}")
-                    out.append((name, i, piece, first, size))
+                    # A container belongs to one task, which numbers its own.
+                    out.append((f"{task}.{b}", i, piece, first, size))
                     left, piece, first = left - size, piece + 1, first + size
                     if left <= 0:
                         break
-            if len(names) > 4 * open_bins:
-                still = {b for bins in packer.by_free.values() for b in bins}
-                names = {b: n for b, n in names.items() if b in still}
             yield pd.DataFrame(out, columns=["container", "id", "piece", "first_token", "tokens"])
 
     kind = df.schema[row_id].dataType.simpleString()

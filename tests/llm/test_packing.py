@@ -41,4 +41,10 @@ def test_pack(spark, tmp_path):
         bins[r.container] = bins.get(r.container, 0) + r.tokens
     assert got == want and max(bins.values()) <= 10 and len(bins) == 4
     assert [(r.piece, r.first_token, r.tokens) for r in out if r.doc_id == 3] == [(0, 0, 10), (1, 10, 10), (2, 20, 5)]
+    # Rows of one id are items of their own, and tasks don't share containers.
+    twice = spark.createDataFrame([(1, "a" * 6), (1, "a" * 6), (2, None), (2, "a" * 6)], "doc_id long, text string").repartition(3)
+    loads = {}
+    for r in pack(twice, "doc_id", "text", 10, str(v), r"\s|\S+").collect():
+        loads[r.container] = loads.get(r.container, 0) + r.tokens
+    assert sum(loads.values()) == 18 and max(loads.values()) <= 10
     assert pack(df.limit(0), "doc_id", "text", 10, str(v), r"\s|\S+").collect() == []

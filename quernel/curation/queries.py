@@ -12,25 +12,25 @@ PCT = (0.0, True, 100.0)
 PROFILED = {"qc": {"reads_millions": (0.0, False, None), "duplication_pct": PCT}, "samples": {"contamination_pct": PCT}}
 
 
-def _profiles(spark: SparkSession, d: str) -> DataFrame:
-    parts = [quality.profile(spark, f"{d}/{t}.parquet", list(cols), "load_id", cols).withColumn("tbl", F.lit(t)) for t, cols in PROFILED.items()]
-    return parts[0].unionByName(parts[1])
+def _profiled(d: str) -> dict:
+    return {t: (f"{d}/{t}.parquet", cols) for t, cols in PROFILED.items()}
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [
-        quality.outliers(quality.profile(spark, f"{d}/{t}.parquet", list(cols), "load_id", cols)).select(F.lit(t).alias("tbl"), "col_name", "load_id", "issue")
-        for t, cols in PROFILED.items()
-    ]
-    return parts[0].unionByName(parts[1])
+    return quality.outliers(quality.profile(spark, _profiled(d), "load_id"))
 
 
 def p2_profile(spark: SparkSession, d: str) -> DataFrame:
-    return _profiles(spark, d).select(
+    return quality.profile(spark, _profiled(d), "load_id").select(
         "tbl", "col_name", "load_id", "rows_n", "missing_n", "unreadable_n", "outside_n", "distinct_n", "lowest", "highest", F.round("median", 6).alias("median")
     )
 
 
+def p2_footers(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and NULLs of each column, from footers alone."""
+    return quality.chunks(spark, _profiled(d), "load_id").select("tbl", "col_name", "rows_n", "nulls_n")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return impute.filled_cells(_imputed(spark, d), "rec_id").select("rec_id", "field_name")
 
@@ -82,7 +82,7 @@ def p6_wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_profile, p3_found, p3_filled, p5_found, p5_counts, p6_found, p6_wide)}
+    return {f.__name__: f for f in (p2_found, p2_profile, p2_footers, p3_found, p3_filled, p5_found, p5_counts, p6_found, p6_wide)}
 
 
 _P2 = r"""
@@ -153,6 +153,10 @@ select tbl, col_name, load_id, unnest(list_filter([
     case when abs(med - centre) > 0.25 * abs(centre) then 'shift' end], lambda x: x is not null)) as issue
 from p left join m using (tbl, col_name, load_id) left join c using (tbl, col_name)""",
         "p2_profile": _P2 + "select tbl, col_name, load_id, rows_n, missing_n, unreadable_n, outside_n, distinct_n, lowest, highest, round(med, 6) as median from p",
+        "p2_footers": """
+select 'qc' as tbl, 'reads_millions' as col_name, count(*) as rows_n, count(*) - count(reads_millions) as nulls_n from qc
+union all select 'qc', 'duplication_pct', count(*), count(*) - count(duplication_pct) from qc
+union all select 'samples', 'contamination_pct', count(*), count(*) - count(contamination_pct) from samples""",
         "p3_found": f"""
 select rec_id, 'bmi' as field_name from subjects where bmi is null or isnan(bmi) or bmi not between 10 and 80
 union all select rec_id, 'smoker_status' from subjects where {_letters('smoker_status')}

@@ -84,11 +84,11 @@ def test_wide_of_nothing(spark):
 def test_profile(spark, tmp_path):
     rows = [("a", t) for t in ["1", " 2 ", "+2.0", "", None, "NaN", "-1", "x", ">3", "2e3"]] + [("b", "10")] * 3 + [(None, "5")]
     spark.createDataFrame(rows, "load_id string, v string").selectExpr("*", "1 as value", "'q' as col_name", "2 as n").write.parquet(str(tmp_path / "t"))
-    p = {r.load_id: r for r in quality.profile(spark, str(tmp_path / "t"), ["v"], "load_id", {"v": (0.0, False, None)}).collect()}
+    p = {r.load_id: r for r in quality.profile(spark, {"t": (str(tmp_path / "t"), {"v": (0.0, False, None)})}, "load_id").collect()}
     a = p["a"]
     assert (a.rows_n, a.missing_n, a.unreadable_n, a.outside_n, a.inside_n, a.distinct_n, a.lowest, a.highest, a.median, a.most_n) == (10, 2, 4, 1, 3, 3, -1.0, 2.0, 2.0, 2)
     assert p["b"].median == 10 and p[None].median == 5 and a.centre == 5
-    found = {(r.load_id, r.issue) for r in quality.outliers(quality.profile(spark, str(tmp_path / "t"), ["v"], "load_id", {"v": (0.0, False, None)})).collect()}
+    found = {(r.load_id, r.issue) for r in quality.outliers(quality.profile(spark, {"t": (str(tmp_path / "t"), {"v": (0.0, False, None)})}, "load_id")).collect()}
     assert found == {("a", x) for x in ("missing", "unreadable", "range", "frequent", "shift")} | {("b", "frequent"), ("b", "shift"), (None, "frequent")}
 
 
@@ -105,7 +105,43 @@ def test_exact_medians(spark):
 
 def test_profile_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "load_id string, v double").write.parquet(str(tmp_path / "e"))
-    assert quality.profile(spark, str(tmp_path / "e"), ["v"], "load_id", {"v": (0.0, True, 100.0)}).count() == 0
+    assert quality.profile(spark, {"e": (str(tmp_path / "e"), {"v": (0.0, True, 100.0)})}, "load_id").count() == 0
+
+
+def test_ways_of_chunks(spark, tmp_path):
+    """Settled, dictionary and scanned chunks give the same counts as reading all rows."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    big = 2**53
+    sets = {
+        "constant": ([5] * 50, True), "wide": ([big, big + 1] * 25, True), "mixed": ([None, "x", " 7", "7.0", "07"] * 10, True),
+        "plain": ([f"{i}.50" for i in range(50)], False), "none": ([None] * 50, True), "nan": ([float("nan"), 1.0, None, 2.0, -0.0] * 10, True),
+    }
+    for name, (values, dictionary) in sets.items():
+        table = pa.table({"v": values if name != "none" else pa.array(values, pa.string()), "load_id": ["a"] * 20 + ["b"] * 20 + [None] * 10})
+        (tmp_path / name).mkdir()
+        pq.write_table(table, tmp_path / name / "one.parquet", row_group_size=20, use_dictionary=["v", "load_id"] if dictionary else ["load_id"])
+        pq.write_table(table.slice(0, 5), tmp_path / name / "two.parquet")
+        ways = quality.chunks(spark, {"t": (str(tmp_path / name), {"v": (0.0, True, None)})}, "load_id").first()
+        assert (ways.rows_n, ways.nulls_n) == (55, sum(v is None for v in values) + sum(v is None for v in values[:5]))
+        expected = {"constant": ways.settled, "none": ways.settled, "plain": ways.scan}.get(name, ways.dictionary)
+        assert expected > 0
+        p = {r.load_id: r for r in quality.profile(spark, {"t": (str(tmp_path / name), {"v": (0.0, True, None)})}, "load_id").collect()}
+        assert {k: r.rows_n for k, r in p.items()} == {"a": 25, "b": 20, None: 10}
+        if name == "wide":
+            assert p["a"].distinct_n == 2 and p["b"].most_n == 10
+        if name == "mixed":
+            assert (p["b"].distinct_n, p["b"].missing_n, p["b"].unreadable_n, p["b"].most_n) == (1, 4, 4, 12)
+        if name == "nan":
+            assert (p["b"].distinct_n, p["b"].unreadable_n, p["b"].lowest, p["b"].highest) == (3, 4, 0.0, 2.0)
+        if name == "none":
+            assert p["b"].missing_n == 20 and p["b"]["median"] is None
+
+
+def test_medians_with_strays(spark):
+    rows = [("a", 1e12, 1), ("a", -1e300, 1)] + [("a", 5 + i / 1e6, 1) for i in range(999)]
+    assert quality.exact_medians(spark.createDataFrame(rows, "g string, value double, n long"), ["g"]).first()["median"] == 5 + 499 / 1e6
 
 
 # ---------------------------------------------------------------- imputation

@@ -29,7 +29,7 @@ PARENT = [("A", T(2), None, "p"), ("a ", T(4), T(5), "p"), ("B", T(2), T(4), "p"
 REASONS = [(2, "late"), (3, "deleted"), (5, "missing"), (5, "missing"), (9, "missing"), (10, "deleted")]
 
 
-@pytest.mark.parametrize("how", [{}, {"share": 0.1, "least": 1}])
+@pytest.mark.parametrize("how", [{}, {"share": 0.1}, {"share": 2.0}])
 def test_orphans(spark, how):
     rows, counts = _orphans(spark, CHILD, PARENT, **how)
     assert rows == REASONS
@@ -42,8 +42,18 @@ def test_orphans_of_empty_tables(spark):
 
 
 def test_heavy_keys_are_bounded(spark):
-    refs = spark.range(1000).selectExpr("if(id < 400, 'hot', concat('k', id)) as _key", "cast(1 as long) as _n")
-    assert orphans.heavy_keys(refs, 0.01, 10) == ["hot"]
+    groups = spark.range(1000).selectExpr("if(id < 400, 'hot', concat('k', id)) as _key", "cast(1 as long) as _n")
+    assert [r[0] for r in orphans.heavy_keys(groups, 0.01).collect()] == ["hot"]
+
+
+def test_hot_orphans_at_the_boundary(spark):
+    """A key with most references, one day of a month before and one after its first load."""
+    child = [(i, "hot", T(1 + i % 28), "x", 1) for i in range(280)] + [(1000 + i, f"k{i}", T(3), "x", 1) for i in range(40)]
+    parent = [("HOT", T(11), T(21), "p")] + [(f"K{i}", T(1), None, "p") for i in range(0, 40, 2)]
+    rows, counts = _orphans(spark, child, parent)
+    late, deleted = [r for r in rows if r[1] == "late"], [r for r in rows if r[1] == "deleted"]
+    assert (len(late), len(deleted), len(rows)) == (100, 80, 200)
+    assert counts == [("2024-01", "deleted", 80), ("2024-01", "late", 100), ("2024-01", "missing", 20)]
 
 
 # ---------------------------------------------------------------- wide tables

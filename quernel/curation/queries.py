@@ -68,7 +68,8 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def _cells(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, str]]:
     types = wide.attribute_types(table(spark, d, "genes"), "gene", "value_type")
-    return wide.compact(wide.deltas(table(spark, d, "expression"), types, "sample_id", "gene", "expression", ["loaded_at", "rec_id"])), types
+    log = wide.Log(spark).upsert(table(spark, d, "expression"), types, "sample_id", "gene", "expression", ["loaded_at", "rec_id"], "load_id")
+    return log.cells(), types
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -81,8 +82,21 @@ def p6_wide(spark: SparkSession, d: str) -> DataFrame:
     return wide.widen(cells, types, "sample_id")
 
 
+def p6_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What p6_wide comes to per sample: how many cells of each type, and their sums."""
+    types = wide.attribute_types(table(spark, d, "genes"), "gene", "value_type")
+    of = lambda kind: [F.col(f"`{a}`") for a, k in sorted(types.items()) if k == kind]
+    count = lambda cs: sum([c.isNotNull().cast("bigint") for c in cs], F.lit(0).cast("bigint"))
+    total = lambda cs, zero: sum([F.coalesce(c, zero) for c in cs], zero)
+    return p6_wide(spark, d).select(
+        "sample_id", count(of("double")).alias("doubles"), F.round(total(of("double"), F.lit(0.0)), 3).alias("double_sum"), count(of("bigint")).alias("bigints"),
+        total(of("bigint"), F.lit(0).cast("bigint")).alias("bigint_sum"), total([c.cast("bigint") for c in of("boolean")], F.lit(0).cast("bigint")).alias("trues"),
+        count(of("boolean")).alias("booleans"), count(of("string")).alias("strings"),
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_profile, p2_footers, p3_found, p3_filled, p5_found, p5_counts, p6_found, p6_wide)}
+    return {f.__name__: f for f in (p2_found, p2_profile, p2_footers, p3_found, p3_filled, p5_found, p5_counts, p6_found, p6_wide, p6_totals)}
 
 
 _P2 = r"""
@@ -163,5 +177,11 @@ union all select rec_id, 'smoker_status' from subjects where {_letters('smoker_s
 union all select rec_id, 'site' from subjects where {_letters('site')}""",
         "p5_found": _P5 + "select tbl, rec_id, reason from o",
         "p5_counts": _P5 + "select tbl, strftime(t, '%Y-%m') as month, reason, count(*) as n from o group by 1, 2, 3",
+        "p6_totals": _P6 + """
+select s as sample_id, count(try_cast(latest as double)) filter (kind = 'double') as doubles, round(coalesce(sum(try_cast(latest as double)) filter (kind = 'double'), 0), 3) as double_sum,
+  count(try_cast(latest as bigint)) filter (kind = 'bigint') as bigints, coalesce(sum(try_cast(latest as bigint)) filter (kind = 'bigint'), 0)::bigint as bigint_sum,
+  count(*) filter (kind = 'boolean' and lower(latest) in ('true', 't', 'yes', 'y', '1')) as trues, count(latest) filter (kind = 'boolean') as booleans,
+  count(latest) filter (kind = 'string' and g in (select gene from genes)) as strings
+from c group by 1""",
         "p6_found": _P6 + "select s as sample_id, g as gene, 'conflict' as issue from c where conflict union all select s, g, 'unreadable' from c where unreadable",
     }

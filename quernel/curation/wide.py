@@ -1,24 +1,29 @@
 """Entity, attribute, value rows as one typed row per entity (problem 6).
 
-Method: log-structured upserts. Every batch row is a sparse delta (one cell) with a version
-(load time, row id); map-side combining folds each run's deltas per cell, the shuffle brings the
-folded runs of a cell together and the latest readable version wins. Conflicts and unreadable
-entries are folded along with it, so that no list of a cell's entries is ever built.
+Method: log-structured upserts. A batch becomes sparse wide deltas: one row per entity with the cells
+it brings, each with its version (load time, row id) and what is needed to tell conflicts. Repeats
+within the batch are folded before they are shuffled. Deltas are kept in a log, a Parquet table with
+a run per load, hashed into buckets and sorted by entity; a new load adds a run and reads nothing
+else. Runs are merged bucket by bucket without a shuffle, the latest readable version of a cell
+winning; compact() replaces the runs by what they come to.
 
 Edge cases: rows with a NULL or blank entity, attribute or entry count for nothing. An attribute
 that the dictionary doesn't know is text in the report and gets no column. Of equal versions the
 entry greater by bytes wins. Integers beyond 64 bits are readable, but NULL in the wide table.
-An empty table gives an empty report and an empty wide table with all columns. Whole numbers and
-texts are compared by a 64-bit hash of their canonical form (two different ones are taken as equal
-with a probability of 2^-64), decimals and truth values by value.
+An empty table gives an empty report and an empty wide table with all columns. A load that comes again
+changes nothing but what it has anew. Whole numbers and texts are compared by a 64-bit hash of their
+canonical form (two different ones are taken as equal with a probability of 2^-64), decimals and truth
+values by value. The types of a log's attributes don't change.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.runtime import real_key
+from quernel.runtime import checkpoint_dir, real_key
 
 #: The entries that mean true and false.
 TRUE, FALSE = ("true", "t", "yes", "y", "1"), ("false", "f", "no", "n", "0")
@@ -56,11 +61,11 @@ def _typed(text: Column, kind: Column) -> tuple[Column, Column, Column]:
     return ok, F.when(ok, number), F.when(ok, code)
 
 
-def deltas(rows: DataFrame, types: dict[str, str], entity: str, attribute: str, value: str, version: list[str]) -> DataFrame:
+def deltas(rows: DataFrame, types: dict[str, str], entity: str, attribute: str, value: str, version: list[str], run: str) -> DataFrame:
     """One sparse cell per row: entity, attribute, version, entry and its reading."""
     by_kind = {k: [a for a, t in types.items() if t == k] for k in ("double", "bigint", "boolean")}
     base = rows.select(
-        real_key(F.col(entity)).alias("entity"), real_key(F.col(attribute)).alias("attribute"),
+        F.col(run).alias("run"), real_key(F.col(entity)).alias("entity"), real_key(F.col(attribute)).alias("attribute"),
         F.btrim(F.col(value), F.lit(" \t\n\r")).alias("entry"), F.struct(*[F.col(v) for v in version]).alias("version"),
     ).filter("entity is not null and attribute is not null and entry != ''")
     kind = F.lit("string")
@@ -72,19 +77,59 @@ def deltas(rows: DataFrame, types: dict[str, str], entity: str, attribute: str,
     return base.withColumns({"readable": ok, "number": number, "code": code})
 
 
-def compact(cells: DataFrame) -> DataFrame:
-    """One row per cell: the latest readable entry, and whether entries conflict or can't be read."""
-    latest = F.max(F.when(F.col("readable"), F.struct("version", "entry")))
-    return cells.groupBy("entity", "attribute").agg(
-        latest["entry"].alias("entry"),
-        ((F.min("number") != F.max("number")) | F.lit(False)).alias("_n"),
-        (F.min("code") != F.max("code")).alias("_c"),
-        F.min("readable").alias("_all"),
-    ).select(
-        "entity", "attribute", "entry",
-        (F.coalesce("_n", F.lit(False)) | F.coalesce("_c", F.lit(False))).alias("conflict"),
-        (~F.col("_all")).alias("unreadable"),
+def _fold(cells: DataFrame, *keys: str) -> DataFrame:
+    """One row per cell: the latest readable entry with its version, and the extremes that tell whether entries differ."""
+    return cells.groupBy(*keys, "entity", "attribute").agg(
+        F.max("latest").alias("latest"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.min("least").alias("least"), F.max("most").alias("most"), F.min("readable").alias("readable"),
+    )
+
+
+def sparse(rows: DataFrame, types: dict[str, str], entity: str, attribute: str, value: str, version: list[str], load: str | None, buckets: int) -> DataFrame:
+    """(run, entity, cells): the batch as sparse wide deltas, one row per load and entity, hashed by entity into buckets."""
+    run = F.coalesce(F.col(f"`{load}`").cast("string"), F.lit("")) if load else F.lit("")
+    cells = deltas(rows.withColumn("\trun", run), types, entity, attribute, value, version, "\trun")
+    cells = cells.select(
+        "run", "entity", "attribute", F.when(F.col("readable"), F.struct("version", "entry")).alias("latest"),
+        F.col("number").alias("low"), F.col("number").alias("high"), F.col("code").alias("least"), F.col("code").alias("most"), "readable",
     )
+    folded = _fold(cells, "run").repartition(buckets, "entity")
+    packed = F.struct("attribute", "latest", "low", "high", "least", "most", "readable")
+    return folded.groupBy("run", "entity").agg(F.array_sort(F.collect_list(packed), lambda x, y: F.when(x["attribute"] < y["attribute"], -1).otherwise(1)).alias("cells"))
+
+
+class Log:
+    """The runs of a wide table, at path (a shared folder)."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark = spark
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = path or f"{checkpoint_dir(spark)}/quernel-wide-{uuid.uuid4().hex}"
+        self.name = f"quernel_wide_{uuid.uuid4().hex}"
+
+    def _write(self, wide: DataFrame, mode: str, path: str) -> None:
+        wide.write.partitionBy("run").bucketBy(self.buckets, "entity").sortBy("entity").option("path", path).mode(mode).format("parquet").saveAsTable(self.name)
+
+    def upsert(self, rows: DataFrame, types: dict[str, str], entity: str, attribute: str, value: str, version: list[str], load: str | None = None) -> Log:
+        """A run per load of a batch; runs that are there are not read."""
+        self._write(sparse(rows, types, entity, attribute, value, version, load, self.buckets), "append", self.path)
+        return self
+
+    def cells(self) -> DataFrame:
+        """All runs merged: one row per cell, the latest readable entry, whether entries conflict or can't be read."""
+        merged = _fold(self.spark.table(self.name).select("entity", F.explode("cells").alias("c")).select("entity", "c.*"))
+        differ = [F.coalesce(F.col(a) != F.col(b), F.lit(False)) for a, b in (("low", "high"), ("least", "most"))]
+        return merged.select(
+            "entity", "attribute", F.col("latest.entry").alias("entry"), (differ[0] | differ[1]).alias("conflict"), (~F.col("readable")).alias("unreadable"),
+        )
+
+    def compact(self) -> Log:
+        """A log of one run, with the same cells; this one stays as it is until it is dropped."""
+        out = Log(self.spark, buckets=self.buckets)
+        merged = _fold(self.spark.table(self.name).select("entity", F.explode("cells").alias("c")).select("entity", "c.*"))
+        packed = F.struct("attribute", "latest", "low", "high", "least", "most", "readable")
+        out._write(merged.groupBy("entity").agg(F.collect_list(packed).alias("cells")).withColumn("run", F.lit("")), "append", out.path)
+        return out
 
 
 def issues(cells: DataFrame) -> DataFrame:
@@ -95,16 +140,16 @@ def issues(cells: DataFrame) -> DataFrame:
 
 def widen(cells: DataFrame, types: dict[str, str], entity_name: str) -> DataFrame:
     """One row per entity and one typed column per attribute of the dictionary."""
-    names, key = sorted(types), "\tentity"  # no attribute in key form begins with a tab
-    # A sparse map per entity (no larger than the dictionary), then a column per attribute.
-    pairs = F.map_from_entries(F.collect_list(F.when(F.col("entry").isNotNull() & F.col("attribute").isin(names), F.struct("attribute", "entry"))))
-    wide = cells.groupBy(F.col("entity").alias(key)).agg(pairs.alias("\tcells"))
+    names = sorted(types)
+    # Every entry goes to its column by a hash of the attribute, not by asking each column.
+    wide = cells.groupBy("entity").pivot("attribute", names).agg(F.first("entry")) if names else cells.select("entity").distinct()
+    wide = wide.toDF("\tentity", *[f"\t{i}" for i in range(len(names))])  # no attribute in key form begins with a tab
     typed = []
-    for a in names:
-        c = F.try_element_at(F.col("\tcells"), F.lit(a))
+    for i, a in enumerate(names):
+        c = F.col(f"\t{i}")
         if types[a] == "boolean":
             c = F.when(F.lower(c).isin(*TRUE), True).when(F.lower(c).isin(*FALSE), False)
         elif types[a] != "string":
             c = c.try_cast(types[a])
         typed.append(c.alias(a + "_" if a.lower() == entity_name.lower() else a))
-    return wide.select(F.col(key).alias(entity_name), *typed)
+    return wide.select(F.col("\tentity").alias(entity_name), *typed)

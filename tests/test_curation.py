@@ -67,21 +67,30 @@ CELLS = [
 ]
 
 
-def _wide(spark, rows):
+def _wide(spark, rows, batches=()):
     types = wide.attribute_types(spark.createDataFrame(GENES, "gene string, value_type string"), "gene", "value_type")
-    df = spark.createDataFrame(rows, "rec_id long, sample_id string, gene string, v string, loaded_at timestamp_ntz").selectExpr("*", "1 as entity", "2 as conflict")
-    cells = wide.compact(wide.deltas(df, types, "sample_id", "gene", "v", ["loaded_at", "rec_id"]))
-    return cells, types
+    df = spark.createDataFrame(rows, "rec_id long, sample_id string, gene string, v string, loaded_at timestamp_ntz").selectExpr("*", "1 as entity", "2 as conflict", "'q' as run", "'z' as cells")
+    log = wide.Log(spark, buckets=3)
+    for part in batches or [None]:  # one batch, or one after another
+        log.upsert(df if part is None else df.filter(part), types, "sample_id", "gene", "v", ["loaded_at", "rec_id"])
+    return (log.compact() if batches else log).cells(), types
 
 
-def test_wide(spark):
-    cells, types = _wide(spark, CELLS)
+@pytest.mark.parametrize("batches", [(), ("rec_id % 3 = 0", "rec_id % 3 = 1", "rec_id % 3 = 2", "rec_id % 3 = 1")])
+def test_wide(spark, batches):
+    cells, types = _wide(spark, CELLS, batches)
     assert sorted(tuple(r) for r in wide.issues(cells).collect()) == [("S1", "G2", "unreadable"), ("S1", "G3", "conflict"), ("S2", "G1", "unreadable"), ("S4", "G1", "unreadable")]
     got = {r[0]: r.asDict() for r in wide.widen(cells, types, "entity").collect()}
     assert got["S1"] == {"entity": "S1", "ENTITY_": None, "G1": 1.5, "G2": 7, "G3": False, "G4": "b"}
     assert got["S2"]["G1"] is None and got["S2"]["ENTITY_"] == "e" and got["S2"]["G2"] is None and "S3" not in got
 
 
+def test_runs_are_merged_without_a_shuffle(spark):
+    cells, _ = _wide(spark, CELLS)
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "bucketed" in plan.lower()
+
+
 def test_wide_of_nothing(spark):
     cells, types = _wide(spark, [])
     assert wide.issues(cells).count() == 0

@@ -8,15 +8,20 @@ the driver solves. Fills are a function of the row and the models, so nothing is
 on in data. Fills are drawn, not set to the mean: prediction plus residual noise, or a class by its
 probability, from a hash of the record's id, so a repeated run fills alike.
 
-Edge cases: a cell without value is NULL, NaN, blank, a word for "not known" or out of bounds; it is
-marked in <field>_filled. Where no record has a usable value the cell stays NULL, still marked. Rows
-that occur again are filled alike. Spellings of a class (case, blanks, one or two letters off) train
-that class and are kept as written. Extra columns pass through; a clashing mark gets a "_" appended.
+Every spelling is a class of its own, unless it is a letter or two off one that is far more frequent:
+then it trains that class, and is kept as written. The CLASSES most frequent ones are told apart by the
+models; all others are one class more, and a cell that draws it gets one of their values.
+
+Edge cases: a cell without value is NULL, NaN, blank, a word for "not known" or out of bounds. It is
+marked in <field>_filled where it was given a value; only if no record at all has one does it stay NULL,
+not marked. Rows that occur again are filled alike. Spellings differing in case and blanks are one.
+Extra columns pass through; a clashing mark gets a "_" appended.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,8 +38,12 @@ UNKNOWN = (
     "notknown", "notrecorded", "notavailable", "notapplicable", "notstated", "notreported", "notgiven", "notspecified", "notasked",
     "norecord", "nodata", "noinformation", "noinfo", "noanswer", "noentry", "unspecified", "unrecorded", "unavailable", "undefined", "undetermined", "unstated",
 )
-#: A spelling is a class of its own from this share of the records on: at most 1 / share classes.
-CLASS_SHARE = 1 / 200
+#: Classes that models tell apart, and those with a coefficient of their own in a regression (most frequent first).
+CLASSES, COEFFICIENTS = 500, 64
+#: Values kept for cells that draw a class beyond those.
+RARE = 4096
+#: A spelling that is near one at least so many times as frequent is a misspelling; longer texts have none.
+RATIO, SPELLED = 20, 64
 ROUNDS = 3
 
 
@@ -98,27 +107,63 @@ def _distance(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
-def _nearest(text: str, classes: list[str]) -> int:
-    """The class that a spelling stands for, or -1."""
-    most = 1 if len(text) < 6 else 2
-    best = min(((_distance(text, c, most), i) for i, c in enumerate(classes)), default=(most + 1, -1))
-    return best[1] if best[0] <= most else -1
+def _shortened(text: str, most: int) -> set[str]:
+    """text without up to `most` letters."""
+    found = layer = {text}
+    for _ in range(most):
+        layer = {t[:i] + t[i + 1 :] for t in layer for i in range(len(t))}
+        found = found | layer
+    return found
+
+
+class _Speller:
+    """Finds the class that a spelling is near to; texts with other figures are never near."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.index: dict[str, list[int]] = {}
+
+    def add(self, name: str) -> None:
+        if len(name) <= SPELLED:
+            for v in _shortened(name, 2):
+                self.index.setdefault(v, []).append(len(self.names))
+        self.names.append(name)
+
+    def nearest(self, text: str) -> int:
+        """The place of the class, or -1."""
+        if len(text) > SPELLED:
+            return -1
+        most = 1 if len(text) < 6 else 2
+        near = {i for v in _shortened(text, most) for i in self.index.get(v, ())}
+        figures = re.sub(r"\D", "", text)
+        best = min(((_distance(text, self.names[i], most), i) for i in near if re.sub(r"\D", "", self.names[i]) == figures), default=(most + 1, -1))
+        return best[1] if best[0] <= most else -1
 
 
 class _Coder:
     """Turns a batch into arrays, cells filled by the models so far."""
 
-    def __init__(self, plan: Plan, classes: dict[str, list[str]], centre: dict[str, tuple[float, float]], models: list[dict]):
-        self.plan, self.classes, self.centre, self.models = plan, classes, centre, models
+    def __init__(self, plan: Plan, classes: dict[str, list[str]], rare: dict[str, list[str]], centre: dict[str, tuple[float, float]], models: list[dict]):
+        self.plan, self.classes, self.rare, self.centre, self.models = plan, classes, rare, centre, models
         self.seen: dict[tuple[str, str], int] = {}
+        self.spellers: dict[str, _Speller] = {}
+
+    def count(self, f: str) -> int:
+        """Classes of a field, that of the rare values included."""
+        return len(self.classes[f]) + bool(self.rare.get(f))
 
     def code(self, f: str, s: pd.Series) -> np.ndarray:
-        names = self.classes[f]
+        if f not in self.spellers:
+            self.spellers[f] = _Speller()
+            for i, name in enumerate(self.classes[f]):
+                self.spellers[f].add(name)
+                self.seen[f, name] = i
         codes, values = pd.factorize(s)
         out = np.full(len(values) + 1, -1)
         for i, v in enumerate(values):
             if (f, v) not in self.seen:
-                self.seen[f, v] = names.index(v) if v in names else _nearest(v, names)
+                near = self.spellers[f].nearest(v)
+                self.seen[f, v] = near if near >= 0 or not self.rare.get(f) else len(self.classes[f])
             out[i] = self.seen[f, v]
         return out[codes]
 
@@ -141,9 +186,15 @@ class _Coder:
                 z = np.nan_to_num((num[g] - mean) / sd)
                 cols += [z, z * z]
         for g in cat:
-            cols += [(cat[g] == k).astype(float) for k in range(1, len(self.classes[g]))]
+            cols += [(cat[g] == k).astype(float) for k in range(1, min(COEFFICIENTS, self.count(g)))]
         return np.stack(cols, 1)
 
+    def width(self, f: str) -> int:
+        """Columns of the design for f."""
+        p = self.plan
+        numbers = len([g for g in (*p.numeric, *p.by_number, *p.by_time) if g != f])
+        return 1 + 2 * numbers + sum([max(0, min(COEFFICIENTS, self.count(g)) - 1) for g in (*p.categorical, *p.by_class)])
+
     def bins(self, f: str, num: dict, cat: dict) -> list[np.ndarray]:
         """For each other field the row's bin, -1 where it has no value."""
         out = []
@@ -198,7 +249,7 @@ def _statistics(coder: _Coder, frames: Iterator[pd.DataFrame]) -> dict[tuple[str
             x = np.column_stack([coder.design(f, num, cat)[known], num[f][known]])
             add((f, "gram", 0), (x.T @ x).ravel())
         for f in coder.plan.categorical:
-            k = len(coder.classes[f])
+            k = coder.count(f)
             known = ~coder.lost[f] & (cat[f] >= 0)
             add((f, "prior", 0), np.bincount(cat[f][known], minlength=k).astype(float))
             for i, b in enumerate(coder.bins(f, num, cat)):
@@ -210,24 +261,29 @@ def _statistics(coder: _Coder, frames: Iterator[pd.DataFrame]) -> dict[tuple[str
 
 def _widths(coder: _Coder, f: str) -> list[int]:
     p = coder.plan
-    return [24] * len((*p.numeric, *p.by_number, *p.by_time)) + [max(1, len(coder.classes[g])) for g in (*p.categorical, *p.by_class) if g != f]
+    return [24] * len((*p.numeric, *p.by_number, *p.by_time)) + [max(1, coder.count(g)) for g in (*p.categorical, *p.by_class) if g != f]
 
 
 def _fit(base: DataFrame, coder: _Coder) -> dict:
     def emit(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for (f, what, i), values in _statistics(coder, it).items():
-            yield pd.DataFrame({"field": f, "what": what, "i": i, "at": np.arange(len(values)), "v": values})
+            at = np.flatnonzero(values)
+            yield pd.DataFrame({"field": f, "what": what, "i": i, "at": at, "v": values[at]})
+
+    rows = base.mapInPandas(emit, "field string, what string, i int, at bigint, v double").groupBy("field", "what", "i", "at").agg(F.sum("v").alias("v")).toPandas()
+    got = {k: (x["at"].to_numpy(), x["v"].to_numpy()) for k, x in rows.groupby(["field", "what", "i"])}
+
+    def dense(key: tuple, size: int) -> np.ndarray:
+        out = np.zeros(size)
+        if key in got:
+            out[got[key][0]] = got[key][1]
+        return out
 
-    rows = base.mapInPandas(emit, "field string, what string, i int, at bigint, v double").groupBy("field", "what", "i", "at").agg(F.sum("v").alias("v")).collect()
-    got: dict = {}
-    for r in sorted(rows, key=lambda r: r.at):
-        got.setdefault((r.field, r.what, r.i), []).append(r.v)
     model: dict = {}
     for f in coder.plan.numeric:
-        gram = np.array(got.get((f, "gram", 0), [0.0]))
-        p = math.isqrt(len(gram))
-        gram = gram.reshape(p, p)
-        n = gram[0, 0] if p > 1 else 0
+        p = coder.width(f) + 1
+        gram = dense((f, "gram", 0), p * p).reshape(p, p)
+        n = gram[0, 0]
         if n < 1:
             model[f] = None
             continue
@@ -236,18 +292,37 @@ def _fit(base: DataFrame, coder: _Coder) -> dict:
         rss = yy - 2 * beta @ b + beta @ gram[:-1, :-1] @ beta
         model[f] = beta, math.sqrt(max(0.0, rss) / n)
     for f in coder.plan.categorical:
-        prior = np.array(got.get((f, "prior", 0), []))
+        k = coder.count(f)
+        prior = dense((f, "prior", 0), k)
         if not prior.sum():
             model[f] = None
             continue
         tables = []
         for i, width in enumerate(_widths(coder, f)):
-            t = np.array(got[f, "bins", i]).reshape(len(prior), width) + 0.5
+            t = dense((f, "bins", i), k * width).reshape(k, width) + 0.5
             tables.append(np.log(t / t.sum(1, keepdims=True)) - np.log(t.sum(0) / t.sum()))
         model[f] = np.log((prior + 0.5) / (prior + 0.5).sum()), tables
     return model
 
 
+def _classes(base: DataFrame, k: str) -> tuple[list[str], bool]:
+    """The classes of a field, the most frequent first, and whether there are more than CLASSES spellings."""
+    seen = base.filter(F.col(k).isNotNull()).groupBy(k).count().orderBy(F.desc("count"), k).limit(CLASSES + 1).collect()
+    speller, counts = _Speller(), []
+    for name, n in seen[:CLASSES]:
+        near = speller.nearest(name)
+        if near < 0 or counts[near] < RATIO * n:
+            speller.add(name)
+            counts.append(n)
+    return speller.names, len(seen) > CLASSES
+
+
+def _rare(df: DataFrame, spelled: Column, written: Column, classes: list[str]) -> list[str]:
+    """Values beyond the classes, spread by hash: the most frequent one of each of RARE buckets."""
+    rest = df.select(spelled.alias("k"), written.alias("v")).filter(F.col("k").isNotNull() & ~F.col("k").isin(classes)).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
+    return [r.v for r in rest.groupBy(F.pmod(F.xxhash64("k"), F.lit(RARE)).alias("b")).agg(F.max_by("v", F.struct("n", "v")).alias("v")).orderBy("b").collect()]
+
+
 def fit(df: DataFrame, plan: Plan) -> _Coder:
     """The fitted chain; its size depends on the number of classes only."""
     cols = _inputs(df, plan)
@@ -255,15 +330,17 @@ def fit(df: DataFrame, plan: Plan) -> _Coder:
     numbers = [k for k in cols if k.startswith("n_")]
     first = base.agg(F.count(F.lit(1)).alias("n"), *[F.avg(k).alias("a" + k) for k in numbers], *[F.stddev_pop(k).alias("s" + k) for k in numbers]).first()
     centre = {k[2:]: (first["a" + k] or 0.0, first["s" + k] or 1.0) for k in numbers}
-    classes = {}
+    classes, rare = {}, {}
     for k in cols:
         if k.startswith("c_"):
-            seen = base.filter(F.col(k).isNotNull()).groupBy(k).count().filter(F.col("count") >= max(1.0, CLASS_SHARE * first["n"])).collect()
-            classes[k[2:]] = sorted(r[0] for r in seen)
-    coder = _Coder(plan, classes, centre, [])
+            f = k[2:]
+            classes[f], more = _classes(base, k)
+            if more:
+                rare[f] = _rare(df, cols[k], F.col(f"`{f}`").cast("string"), classes[f])
+    coder = _Coder(plan, classes, rare, centre, [])
     for _ in range(plan.rounds):
         model = _fit(base, coder)
-        coder = _Coder(plan, classes, centre, [*coder.models, model])
+        coder = _Coder(plan, classes, rare, centre, [*coder.models, model])
     return coder
 
 
@@ -280,24 +357,28 @@ def impute(df: DataFrame, plan: Plan) -> DataFrame:
         out = {f: num[f] for f in plan.numeric}
         for f in plan.categorical:
             names = np.array([*[shown[f].get(c, c) for c in coder.classes[f]], None], dtype=object)
-            out[f] = names[cat[f]]
+            out[f] = names[np.minimum(cat[f], len(names) - 1)]
+            if rare := coder.rare.get(f):
+                at = np.flatnonzero(cat[f] == len(coder.classes[f]))
+                # The lower digits of the draw, as the upper ones chose the class.
+                out[f][at] = np.array(rare, dtype=object)[(pdf["u_" + f].to_numpy(float)[at] * 1e6 % 1 * len(rare)).astype(int)]
         return pd.DataFrame(out)
 
     inner = fresh_name("_fills", df)
     filled = df.withColumn(inner, fills(F.struct(*[c.alias(k) for k, c in cols.items()])))
-    out = []
+    out, marks = [], {f: fresh_name(f + "_filled", df) for f in fields}
     for c in df.columns:
         if c in fields:
             lost = cols[("n_" if c in plan.numeric else "c_") + c].isNull()
             out.append(F.when(lost, F.col(inner)[c].cast(df.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c))
         else:
             out.append(F.col(f"`{c}`"))
-    marks = {f: fresh_name(f + "_filled", df) for f in fields}
-    return filled.select(*out, *[cols[("n_" if f in plan.numeric else "c_") + f].isNull().alias(m) for f, m in marks.items()])
+    given = lambda f: cols[("n_" if f in plan.numeric else "c_") + f].isNull() & F.col(inner)[f].isNotNull()
+    return filled.select(*out, *[given(f).alias(m) for f, m in marks.items()])
 
 
 def _written(df: DataFrame, plan: Plan, classes: dict, cols: dict) -> dict[str, dict[str, str]]:
-    """How each class is mostly written (at most 1 / CLASS_SHARE classes)."""
+    """How each class is mostly written."""
     out = {}
     for f in plan.categorical:
         if not classes[f]:
@@ -309,8 +390,8 @@ def _written(df: DataFrame, plan: Plan, classes: dict, cols: dict) -> dict[str,
 
 
 def filled_cells(filled: DataFrame, row_id: str, fields: tuple[str, ...] = ("bmi", "smoker_status", "site")) -> DataFrame:
-    """(row_id, field_name, value) of every filled cell."""
+    """(row_id, field_name, value) of every cell without a usable value: what it was filled with, or NULL where nothing could be learned."""
     cells = F.array_compact(F.array(*[
-        F.when(F.col(f + "_filled"), F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value"))) for f in fields
+        F.when(F.col(f + "_filled") | F.col(f).isNull(), F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value"))) for f in fields
     ]))
     return filled.select(row_id, F.explode(cells).alias("c")).select(row_id, "c.field_name", "c.value")

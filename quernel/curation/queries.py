@@ -40,6 +40,13 @@ def p3_filled(spark: SparkSession, d: str) -> DataFrame:
     return _imputed(spark, d)
 
 
+def p3_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Per field: cells marked as filled, and cells left without a value."""
+    parts = [f"struct('{f}' as field_name, {f}_filled as filled, {f} is null as empty)" for f in ("bmi", "smoker_status", "site")]
+    cells = _imputed(spark, d).select(F.explode(F.array(*[F.expr(p) for p in parts])).alias("c"))
+    return cells.groupBy("c.field_name").agg(F.count_if("c.filled").alias("filled_n"), F.count_if("c.empty").alias("empty_n"))
+
+
 def _imputed(spark: SparkSession, d: str) -> DataFrame:
     return impute.impute(table(spark, d, "subjects"), impute.SUBJECTS)
 
@@ -96,7 +103,7 @@ def p6_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_profile, p2_footers, p3_found, p3_filled, p5_found, p5_counts, p6_found, p6_wide, p6_totals)}
+    return {f.__name__: f for f in (p2_found, p2_profile, p2_footers, p3_found, p3_filled, p3_totals, p5_found, p5_counts, p6_found, p6_wide, p6_totals)}
 
 
 _P2 = r"""
@@ -171,6 +178,10 @@ from p left join m using (tbl, col_name, load_id) left join c using (tbl, col_na
 select 'qc' as tbl, 'reads_millions' as col_name, count(*) as rows_n, count(*) - count(reads_millions) as nulls_n from qc
 union all select 'qc', 'duplication_pct', count(*), count(*) - count(duplication_pct) from qc
 union all select 'samples', 'contamination_pct', count(*), count(*) - count(contamination_pct) from samples""",
+        "p3_totals": f"""
+select 'bmi' as field_name, count(*) filter (bmi is null or isnan(bmi) or bmi not between 10 and 80) as filled_n, 0 as empty_n from subjects
+union all select 'smoker_status', count(*) filter ({_letters('smoker_status')}), 0 from subjects
+union all select 'site', count(*) filter ({_letters('site')}), 0 from subjects""",
         "p3_found": f"""
 select rec_id, 'bmi' as field_name from subjects where bmi is null or isnan(bmi) or bmi not between 10 and 80
 union all select rec_id, 'smoker_status' from subjects where {_letters('smoker_status')}

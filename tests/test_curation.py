@@ -205,7 +205,24 @@ def test_impute_without_values(spark):
     row = (1, None, None, None, None, None, None, "k", 1)
     for rows in ([], [row, row]):
         out = impute.impute(spark.createDataFrame(rows, SUBJECT), impute.SUBJECTS).collect()
-        assert all(r.bmi is None and r.site is None and r.bmi_filled_ and r.site_filled for r in out) and len(out) == len(rows)
+        assert all(r.bmi is None and r.site is None and not r.bmi_filled_ and not r.site_filled for r in out) and len(out) == len(rows)
+
+
+@pytest.mark.parametrize("sites", [300, 700])
+def test_many_even_classes(spark, sites):
+    """Every hole is filled, from all of the classes, also where there are more than models tell apart."""
+    rows = [(i, 40, "F", None if i % 11 == 0 else f"site {i % sites}", 24.0, "never", dt.date(2024, 1, 1), "k", i) for i in range(12 * sites)]
+    got = impute.impute(spark.createDataFrame(rows, SUBJECT), impute.SUBJECTS).filter("site_filled").collect()
+    assert len(got) == len([r for r in rows if r[3] is None]) and all(r.site is not None for r in got)
+    used = {int(r.site.split()[1]) for r in got}
+    assert len(used) > sites / 3 and all(u < sites for u in used)
+
+
+def test_spellings():
+    s = impute._Speller()
+    for name in ("site b11", "hospital north", "ward"):
+        s.add(name)
+    assert s.nearest("hospitel norh") == 1 and s.nearest("site b12") == -1 and s.nearest("wart") == 2 and s.nearest("word x") == -1 and s.nearest("x" * 100_000) == -1
 
 
 def test_residual_variation_is_kept(spark):

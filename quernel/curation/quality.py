@@ -101,6 +101,11 @@ def profile(spark: SparkSession, tables: dict[str, tuple[str, dict]], load: str)
         F.min("value").alias("lowest"), F.max("value").alias("highest"),
         F.max(F.when(F.col("in_range"), F.col("n"))).alias("most_n"),
     )
+    # Chunks are read outside of Spark: their counts have to come to the rows that Spark counts in each load.
+    rows = [spark.read.parquet(path).groupBy(F.col(f"`{load}`").cast("string").alias("load_id")).agg(F.count(F.lit(1)).alias("_rows")).withColumn("tbl", F.lit(name)) for name, (path, _) in tables.items()]
+    summary = join_safe(summary, reduce(DataFrame.unionByName, rows), ["tbl", "load_id"], "left")
+    wrong = F.raise_error(F.concat(F.lit("counts don't come to the rows of load "), F.coalesce("load_id", F.lit("NULL"))))
+    summary = summary.withColumn("rows_n", F.when(F.col("rows_n") == F.col("_rows"), F.col("_rows")).otherwise(wrong.cast("bigint"))).drop("_rows")
     out = join_safe(summary, exact_medians(inside, keys), keys, "left")
     # One row per column and load from here on.
     centre = out.groupBy("tbl", "col_name").agg(F.percentile("median", F.lit(0.5)).alias("centre"))

@@ -313,12 +313,19 @@ def _truth(v: Val) -> Column:
     return F.when(v.num.isNotNull(), (v.num != 0) | F.isnan(v.num)).otherwise(F.trim(v.text) != "")
 
 
+def _compiled(java: str):
+    """A translated pattern as Python understands it."""
+    import regex
+
+    return regex.compile(java.replace("(?dU)", "").replace("\\z", "\\Z"))
+
+
 def _check(java: str) -> None:
     """Refuses a wrong pattern before any job (Python's view of it is close enough for brackets and repeats)."""
     import regex
 
     try:
-        regex.compile(java.replace("(?dU)", "").replace("\\z", "\\Z"))
+        _compiled(java)
     except regex.error as e:
         raise regexes.PatternError(str(e)) from None
 
@@ -335,8 +342,8 @@ def _dynamic_match(text: Column, pattern: Column) -> Column:
         def one(text, pat):
             if pat not in known:
                 try:
-                    known[pat] = regex.compile(pat)
-                except regex.error:
+                    known[pat] = _compiled(regexes.translate(pat)[0])
+                except (regex.error, regexes.PatternError):
                     known[pat] = None
             return known[pat] is not None and known[pat].search(text) is not None
 

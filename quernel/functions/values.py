@@ -71,10 +71,13 @@ def exact_text(num: Column) -> Column:
 
 
 def shortest(num: Column) -> Column:
-    """A number as it would be typed: no exponent for the usual sizes, no trailing zeros."""
+    """A number as it would be typed, with all its digits: no exponent for the usual sizes, no trailing zeros."""
     d = num.cast("double")
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.10f", d), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    text = F.when(F.isnan(d), F.lit("NaN")).when(F.abs(d).between(1e-4, 1e15) | (d == 0), plain).otherwise(d.cast("string"))
+    plain = d.cast("string")
+    # Every digit of a double between these bounds fits into the decimal.
+    long = F.regexp_replace(plain.cast("decimal(38,21)").cast("string"), r"\.?0+$", "")
+    usual = F.abs(d).between(1e-4, 1e15) | (d == 0)
+    text = F.when(F.isnan(d), F.lit("NaN")).when(usual & plain.contains("E"), long).otherwise(F.when(plain == "-0.0", F.lit("0")).otherwise(F.regexp_replace(plain, r"\.0$", "")))
     return F.coalesce(text, F.lit(""))
 
 

@@ -6,6 +6,7 @@ import re
 from dataclasses import replace
 from functools import reduce
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,26 +110,50 @@ def sort(t: Table, *keys: str) -> Table:
         if numeric:
             n = v.finite
             rest = F.when(n.isNull(), v.text)
-            by += [n.desc_nulls_last(), rest.desc()] if turned else [n.asc_nulls_first(), rest.asc()]
+            by += [n.isNull(), -n, _turned(rest)] if turned else [n, rest]
         else:
-            by.append(v.text.desc() if turned else v.text.asc())
-    return replace(t, df=t.df.orderBy(*by, F.col(ORDER).asc()).withColumn(ORDER, F.monotonically_increasing_id()))
+            by.append(_turned(v.text) if turned else v.text)
+    # The order is a function of the row (keys, then its place before), never of where the row lies after a shuffle.
+    order = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by)], F.col(ORDER).alias("o"))
+    return replace(t, df=t.df.withColumn(ORDER, order).orderBy(ORDER))
 
 
-#: A top-k of more rows than this is taken from the nearer end of the table.
-TOP_K = 100_000
+def _turned(text: Column) -> Column:
+    """A text that orders the other way round: its bytes in complement, and a sign behind them greater than any."""
+    return F.concat(F.translate(F.hex(text), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+
+
+#: A bound further in than this is found by counting ranges of the order column, not by a top-k.
+TOP_K = 10_000
 
 
 def _bound(t: Table, n: int):
-    """The order value of the nth row (from the end if negative); None if there are fewer rows."""
-    if abs(n) > TOP_K:
-        count = t.df.count()
-        if abs(n) > count:
+    """The order value of the nth row (from the end if negative); None if there are fewer rows.
+
+    Near an end by a top-k. Else the order column is laid into ranges, their rows are counted, and it
+    goes on within the range that holds the row, until that is near an end of it: no task gets more
+    than its range, and the driver only counts and bounds.
+    """
+    rows, kind = t.df.select(ORDER), t.df.schema[ORDER].dataType
+    ranges = max(2, int(t.df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    while abs(n) > TOP_K:
+        laid = rows.repartitionByRange(ranges, ORDER)
+        counts = laid.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min(ORDER).alias("lo"), F.max(ORDER).alias("hi")).orderBy("p").collect()
+        total = sum(c.n for c in counts)
+        if abs(n) > total:
             return None
-        if abs(n) > count / 2:
-            n = n - count - 1 if n > 0 else count + 1 + n
+        rank = n if n > 0 else total + 1 + n
+        for c in counts:
+            if rank <= c.n:
+                break
+            rank -= c.n
+        if c.lo == c.hi:
+            return c.lo
+        # The same rows by their bounds, whatever range another run would put them into.
+        rows = rows.filter((F.col(ORDER) >= _literal(c.lo, kind)) & (F.col(ORDER) <= _literal(c.hi, kind)))
+        n = rank if 2 * rank <= c.n else rank - c.n - 1
     way = F.col(ORDER).asc() if n > 0 else F.col(ORDER).desc()
-    picked = t.df.select(ORDER).orderBy(way).limit(abs(n)).agg(F.count(ORDER).alias("n"), (F.max(ORDER) if n > 0 else F.min(ORDER)).alias("o")).first()
+    picked = rows.orderBy(way).limit(abs(n)).agg(F.count(F.lit(1)).alias("n"), (F.max(ORDER) if n > 0 else F.min(ORDER)).alias("o")).first()
     return picked.o if picked.n == abs(n) else None
 
 
@@ -162,6 +187,8 @@ def take(t: Table, spec: str) -> Table:
 
 
 def _literal(value, kind: T.DataType):
+    if value is None:
+        return F.lit(None).cast(kind)
     if isinstance(kind, T.StructType):
         return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind.fields)])
     return F.lit(value).cast(kind)

@@ -74,7 +74,7 @@ def join(tables: list[Table], on: str, keep: str = "", select: str | None = None
         for s, t, k in zip(specs, tables, keys)
     ]
     sides, value_cols = [], []
-    typed = [len({t.kind(k[j]).simpleString() for t, k in zip(tables, keys)}) == 1 and tables[0].kind(keys[0][j]).simpleString() not in ("string", "double", "float") for j in range(wide)]
+    typed = [len({t.kind(k[j]).simpleString() for t, k in zip(tables, keys)}) == 1 and tables[0].kind(keys[0][j]).simpleString() != "string" for j in range(wide)]
     for n, (t, k, cols) in enumerate(zip(tables, keys, shown)):
         made = [(t.col(i) if typed[j] else t.cell(i).text).alias(f"k{j}") for j, i in enumerate(k)]
         made += [t.col(i).alias(f"v{n}_{m}") for m, i in enumerate(cols)]

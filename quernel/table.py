@@ -19,6 +19,21 @@ from quernel.functions.values import Val, cell
 ORDER = "__o"
 
 
+#: Plan nodes that leave rows where they were read.
+_KEEPING = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "LocalRelation", "LogicalRDD", "Range", "DataSourceV2ScanRelation", "View"}
+
+
+def _as_read(df: DataFrame) -> bool:
+    """Whether a row's place in its partition is the same in every run: nothing but a scan, chosen columns and rows."""
+    plan = df._jdf.queryExecution().analyzed()
+    while True:
+        if plan.getClass().getSimpleName() not in _KEEPING:
+            return False
+        if plan.children().isEmpty():
+            return True
+        plan = plan.children().head()
+
+
 @dataclass(frozen=True)
 class Table:
     df: DataFrame
@@ -28,9 +43,14 @@ class Table:
 
     @staticmethod
     def of(df: DataFrame, order_by: list[str | Column] | None = None, text_mode: bool = False) -> Table:
-        """A table over df; order_by gives the order of its rows (else: as they are read)."""
+        """A table over df; order_by gives the order of its rows. Without, rows of a scan are in the order they are read, others in that of their contents."""
         keys = [F.col(f"`{k}`") if isinstance(k, str) else k for k in order_by or []]
-        order = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]) if keys else F.monotonically_increasing_id()
+        if keys:
+            order = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+        elif _as_read(df):
+            order = F.monotonically_increasing_id()
+        else:  # places after a shuffle differ from run to run, contents don't
+            order = F.struct(*[F.to_json(F.struct(F.col(f"`{c}`").alias("v"))).alias(f"k{i}") for i, c in enumerate(df.columns)])
         cols = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(df.columns)]
         return Table(df.select(*cols, order.alias(ORDER)), tuple(df.columns), True, text_mode)
 

@@ -152,3 +152,53 @@ def test_melt_pivot(spark):
 def test_info(spark):
     t = Table.of(spark.createDataFrame([("1", "2024-1-5", "x", ""), ("", "2024-02-03", "1", " ")], "a string, b string, c string, d string"), ["b"])
     assert [r[:3] for r in rows(info(t))] == [(1, "a", "num"), (2, "b", "date"), (3, "c", "str"), (4, "d", "str")]
+
+
+def test_rows_by_place_after_a_sort(spark, monkeypatch):
+    """Whatever way the rows go through a shuffle, and also where bounds are found by ranges."""
+    from quernel.operators import basic
+
+    t = Table.of(spark.range(30_000).selectExpr("id", "id * 7919 % 30011 as x", "cast(id % 7 as string) as g"), ["id"])
+    want = sorted(((i * 7919 % 30011, i) for i in range(30_000)))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20k")
+    try:
+        for k in (10_000, 40):
+            monkeypatch.setattr(basic, "TOP_K", k)
+            up, down = sort(t, "x:n"), sort(t, "x:nr")
+            assert [r[1] for r in rows(cut(take(up, "-10:"), "id,x"))] == [x for x, _ in want[-10:]]
+            assert [r[0] for r in rows(cut(take(up, "20000:20004"), "id,x"))] == [i for _, i in want[19999:20004]]
+            assert [r[0] for r in rows(cut(take(down, "20000:20004"), "id,x"))] == [i for _, i in want[::-1][19999:20004]]
+            text = sort(t, "g:r", "x:n")
+            by_text = sorted(((-(i % 7), x, i) for x, i in want))
+            assert [r[0] for r in rows(cut(take(text, "15001:15003"), "id"))] == [i for *_, i in by_text[15000:15003]]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_sorting_texts_the_other_way_round(spark):
+    texts = ["", "a", "ab", "b", "é", "a\x00", "Z", "😀", None]
+    t = Table.of(spark.createDataFrame([(x,) for x in texts], "s string"))
+    assert [r[0] for r in rows(sort(t, "s:r"))] == sorted(texts, key=lambda x: (x or "").encode(), reverse=True)
+    assert [r[0] for r in sort(t, "s").to_df().collect()] in (sorted(texts, key=lambda x: (x or "").encode()), [None, *sorted(texts[:-1], key=lambda x: x.encode())])
+
+
+def test_order_without_keys_does_not_depend_on_shuffles(spark):
+    df = spark.range(1000).selectExpr("id % 37 as k", "id").repartition(7).groupBy("k").count()
+    assert rows(take(Table.of(df), "3")) == rows(take(Table.of(df.repartition(3)), "3"))
+
+
+def test_numbers_that_differ_late(spark):
+    df = spark.createDataFrame([(0.12345678901,), (0.12345678902,), (1e-7,), (2.5e9,), (-0.0,), (0.0,), (123456789.125,)], "x double")
+    t = Table.of(df, ["x"])
+    assert rows(summarize(t, "x=countunique")) == [(6.0,)]
+    other = Table.of(spark.createDataFrame([(0.12345678902, "b")], "x double, y string"), ["x"])
+    assert [r[1] for r in rows(join([t, other], "x"))] == ["b"]
+    from quernel.functions.values import shortest
+    from pyspark.sql import functions as F
+    shown = [r[0] for r in df.select(shortest(F.col("x"))).collect()]
+    assert shown == ["0.12345678901", "0.12345678902", "1.0E-7", "2500000000", "0", "0", "123456789.125"]
+
+
+def test_patterns_of_a_column_are_those_of_the_language(spark):
+    t = Table.of(spark.createDataFrame([("ab", "a(?=b)"), ("ab\n", "b$"), ("ab", "b$"), ("ab", "[")], "s string, p string"), ["s", "p"])
+    assert [r[1] for r in rows(keep(t, "$s ~ $p"))] == ["b$"]

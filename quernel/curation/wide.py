@@ -11,15 +11,19 @@ Edge cases: rows with a NULL or blank entity, attribute or entry count for nothi
 that the dictionary doesn't know is text in the report and gets no column. Of equal versions the
 entry greater by bytes wins. Integers beyond 64 bits are readable, but NULL in the wide table.
 An empty table gives an empty report and an empty wide table with all columns. A load that comes again
-changes nothing but what it has anew. Whole numbers and texts are compared by a 64-bit hash of their
-canonical form (two different ones are taken as equal with a probability of 2^-64), decimals and truth
-values by value. The types of a log's attributes don't change.
+changes nothing but what it has anew. Values are compared by a 64-bit hash of their canonical form (two
+different ones are taken as equal with a probability of 2^-64). The types of a log's attributes don't
+change.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,10 @@ DOUBLE = r"^[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 BIGINT = r"^[+-]?[0-9]+$"
 #: The dictionary becomes columns, so it is small by nature; more than this is an error.
 MAX_COLUMNS = 20_000
+#: Rows that a task folds at a time.
+FOLDED = 1 << 17
+#: What a delta keeps of a cell.
+CELL = ("attribute", "latest", "code", "differs", "readable")
 
 
 def attribute_types(attributes: DataFrame, name: str, kind: str) -> dict[str, str]:
@@ -44,8 +52,8 @@ def attribute_types(attributes: DataFrame, name: str, kind: str) -> dict[str, st
     return {r.a: r.t if r.t in ("double", "bigint", "boolean") else "string" for r in sorted(rows)}
 
 
-def _typed(text: Column, kind: Column) -> tuple[Column, Column, Column]:
-    """Whether an entry is readable; its value as a number (double, boolean) or as a hash (bigint, string)."""
+def _typed(text: Column, kind: Column) -> tuple[Column, Column]:
+    """Whether an entry is readable, and a hash of its value in its type."""
     low = F.lower(text)
     is_true, is_false = low.isin(*TRUE), low.isin(*FALSE)
     ok = (
@@ -54,11 +62,13 @@ def _typed(text: Column, kind: Column) -> tuple[Column, Column, Column]:
         .when(kind == "boolean", is_true | is_false)
         .otherwise(F.lit(True))
     )
-    number = F.when(kind == "double", text.try_cast("double") + F.lit(0.0)).when(kind == "boolean", F.when(is_true, 1.0).otherwise(0.0))
     digits = F.regexp_replace(F.regexp_replace(text, r"^\+", ""), r"^(-?)0+(?=[0-9])", "$1")
     digits = F.when(digits == "-0", F.lit("0")).otherwise(digits)
-    code = F.when(kind == "bigint", F.xxhash64(digits)).when(kind.isNull() | (kind == "string"), F.xxhash64(text))
-    return ok, F.when(ok, number), F.when(ok, code)
+    code = (
+        F.when(kind == "double", F.xxhash64(text.try_cast("double") + F.lit(0.0))).when(kind == "bigint", F.xxhash64(digits))
+        .when(kind == "boolean", is_true.cast("long")).otherwise(F.xxhash64(text))
+    )
+    return ok, F.when(ok, code)
 
 
 def deltas(rows: DataFrame, types: dict[str, str], entity: str, attribute: str, value: str, version: list[str], run: str) -> DataFrame:
@@ -73,29 +83,63 @@ def deltas(rows: DataFrame, types: dict[str, str], entity: str, attribute: str,
         if names:
             kind = F.when(F.col("attribute").isin(names), F.lit(k)).otherwise(kind)
     base = base.withColumn("kind", kind)
-    ok, number, code = _typed(F.col("entry"), F.col("kind"))
-    return base.withColumns({"readable": ok, "number": number, "code": code})
+    ok, code = _typed(F.col("entry"), F.col("kind"))
+    return base.withColumns({"readable": ok, "code": code})
 
 
 def _fold(cells: DataFrame, *keys: str) -> DataFrame:
-    """One row per cell: the latest readable entry with its version, and the extremes that tell whether entries differ."""
+    """One row per cell: the latest readable entry with its version, a hash of its value, whether others differ, and whether all are readable."""
+    differ = F.coalesce(F.min("code") != F.max("code"), F.lit(False))
     return cells.groupBy(*keys, "entity", "attribute").agg(
-        F.max("latest").alias("latest"), F.min("low").alias("low"), F.max("high").alias("high"),
-        F.min("least").alias("least"), F.max("most").alias("most"), F.min("readable").alias("readable"),
+        F.max("latest").alias("latest"), F.min("code").alias("code"), (differ | F.max("differs")).alias("differs"), F.min("readable").alias("readable"),
     )
 
 
+def _local_fold(version: list[str]):
+    """Folds cells before they are shuffled, some rows at a time: a cell read again and again leaves a task as a few rows."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def small() -> list[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            order = pc.sort_indices(t, sort_keys=[(v, "ascending") for v in (*version, "entry")], null_placement="at_start")
+            t = t.take(order)
+            at = pc.if_else(t["readable"], pa.array(np.arange(t.num_rows)), None)
+            g = t.select(["run", "entity", "attribute", "code", "readable"]).append_column("at", at)
+            g = g.group_by(["run", "entity", "attribute"]).aggregate([("code", "min"), ("code", "max"), ("readable", "all"), ("at", "max")])
+            last = t.select([*version, "entry"]).take(g["at_max"])
+            differs = pc.fill_null(pc.not_equal(g["code_min"], g["code_max"]), False)
+            columns = [g["run"], g["entity"], g["attribute"], *last.columns, g["code_min"], g["readable_all"], differs]
+            return pa.table(columns, names=["run", "entity", "attribute", *version, "entry", "code", "readable", "differs"]).combine_chunks().to_batches()
+
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= FOLDED:
+                yield from small()
+                held, rows = [], 0
+        if held:
+            yield from small()
+
+    return fold
+
+
 def sparse(rows: DataFrame, types: dict[str, str], entity: str, attribute: str, value: str, version: list[str], load: str | None, buckets: int) -> DataFrame:
     """(run, entity, cells): the batch as sparse wide deltas, one row per load and entity, hashed by entity into buckets."""
     run = F.coalesce(F.col(f"`{load}`").cast("string"), F.lit("")) if load else F.lit("")
     cells = deltas(rows.withColumn("\trun", run), types, entity, attribute, value, version, "\trun")
     cells = cells.select(
-        "run", "entity", "attribute", F.when(F.col("readable"), F.struct("version", "entry")).alias("latest"),
-        F.col("number").alias("low"), F.col("number").alias("high"), F.col("code").alias("least"), F.col("code").alias("most"), "readable",
+        "run", "entity", "attribute", F.when(F.col("readable"), F.struct("version", "entry")).alias("latest"), "code", F.lit(False).alias("differs"), "readable",
     )
-    folded = _fold(cells, "run").repartition(buckets, "entity")
-    packed = F.struct("attribute", "latest", "low", "high", "least", "most", "readable")
-    return folded.groupBy("run", "entity").agg(F.array_sort(F.collect_list(packed), lambda x, y: F.when(x["attribute"] < y["attribute"], -1).otherwise(1)).alias("cells"))
+    local = cells.select("run", "entity", "attribute", "latest.version.*", "latest.entry", "code", "readable")
+    names = [f"v{i}" for i in range(len(version))]
+    local = local.toDF("run", "entity", "attribute", *names, "entry", "code", "readable")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in local.schema.fields) + ", differs boolean"
+    spread = local.mapInArrow(_local_fold(names), schema).repartition(buckets, "entity")
+    latest = F.when(F.col("entry").isNotNull(), F.struct(F.struct(*names).alias("version"), "entry")).alias("latest")
+    folded = _fold(spread.select("run", "entity", "attribute", latest, "code", "differs", "readable"), "run")
+    return folded.groupBy("run", "entity").agg(F.array_sort(F.collect_list(F.struct(*CELL)), lambda x, y: F.when(x["attribute"] < y["attribute"], -1).otherwise(1)).alias("cells"))
 
 
 class Log:
@@ -108,7 +152,7 @@ class Log:
         self.name = f"quernel_wide_{uuid.uuid4().hex}"
 
     def _write(self, wide: DataFrame, mode: str, path: str) -> None:
-        wide.write.partitionBy("run").bucketBy(self.buckets, "entity").sortBy("entity").option("path", path).mode(mode).format("parquet").saveAsTable(self.name)
+        wide.write.partitionBy("run").bucketBy(self.buckets, "entity").sortBy("entity").option("path", path).option("compression", "zstd").mode(mode).format("parquet").saveAsTable(self.name)
 
     def upsert(self, rows: DataFrame, types: dict[str, str], entity: str, attribute: str, value: str, version: list[str], load: str | None = None) -> Log:
         """A run per load of a batch; runs that are there are not read."""
@@ -118,17 +162,15 @@ class Log:
     def cells(self) -> DataFrame:
         """All runs merged: one row per cell, the latest readable entry, whether entries conflict or can't be read."""
         merged = _fold(self.spark.table(self.name).select("entity", F.explode("cells").alias("c")).select("entity", "c.*"))
-        differ = [F.coalesce(F.col(a) != F.col(b), F.lit(False)) for a, b in (("low", "high"), ("least", "most"))]
         return merged.select(
-            "entity", "attribute", F.col("latest.entry").alias("entry"), (differ[0] | differ[1]).alias("conflict"), (~F.col("readable")).alias("unreadable"),
+            "entity", "attribute", F.col("latest.entry").alias("entry"), F.col("differs").alias("conflict"), (~F.col("readable")).alias("unreadable"),
         )
 
     def compact(self) -> Log:
         """A log of one run, with the same cells; this one stays as it is until it is dropped."""
         out = Log(self.spark, buckets=self.buckets)
         merged = _fold(self.spark.table(self.name).select("entity", F.explode("cells").alias("c")).select("entity", "c.*"))
-        packed = F.struct("attribute", "latest", "low", "high", "least", "most", "readable")
-        out._write(merged.groupBy("entity").agg(F.collect_list(packed).alias("cells")).withColumn("run", F.lit("")), "append", out.path)
+        out._write(merged.groupBy("entity").agg(F.collect_list(F.struct(*CELL)).alias("cells")).withColumn("run", F.lit("")), "append", out.path)
         return out
 
 

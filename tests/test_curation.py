@@ -85,6 +85,16 @@ def test_wide(spark, batches):
     assert got["S2"]["G1"] is None and got["S2"]["ENTITY_"] == "e" and got["S2"]["G2"] is None and "S3" not in got
 
 
+def test_a_cell_read_again_and_again(spark, monkeypatch):
+    """Folded in parts before the shuffle, with NULL versions and unreadable entries, it is the latest readable one all the same."""
+    monkeypatch.setattr(wide, "FOLDED", 7)
+    rows = [(i, "s1", "g1", "x" if i % 5 == 0 else f"{i}", T(1 + i % 28) if i % 3 else None) for i in range(200)] + [(500, "s1", "g2", "4", None), (501, "s1", "g2", "y", T(2))]
+    cells, _ = _wide(spark, rows)
+    got = {r.attribute: (r.entry, r.conflict, r.unreadable) for r in cells.collect()}
+    latest = max((r for r in rows[:200] if r[3] != "x" and r[4]), key=lambda r: (r[4], r[0]))
+    assert got == {"G1": (latest[3], True, True), "G2": ("4", False, True)}
+
+
 def test_runs_are_merged_without_a_shuffle(spark):
     cells, _ = _wide(spark, CELLS)
     plan = cells._jdf.queryExecution().executedPlan().toString()

@@ -8,6 +8,7 @@ import sys
 import tempfile
 from pathlib import Path
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 from quernel import operators as ops
@@ -15,6 +16,25 @@ from quernel.sources import text, xlsx
 from quernel.table import Table
 
 
+class _Load(argparse.Action):
+    """Files to load, each with the name of its sheet as soon as one is given."""
+
+    def __call__(self, parser, namespace, values, option_string=None):
+        setattr(namespace, self.dest, [*(getattr(namespace, self.dest) or []), *[[v, None] for v in values]])
+
+
+class _Sheet(argparse.Action):
+    """Sheets to choose; behind --load the name of the last file that has none."""
+
+    def __call__(self, parser, namespace, values, option_string=None):
+        if namespace.load:
+            free = [x for x in namespace.load if x[1] is None]
+            if not free:
+                parser.error("-s must follow a --load FILE")
+            free[-1][1] = values
+        namespace.sheet = [*(namespace.sheet or []), values]
+
+
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quernel")
     sub = p.add_subparsers(dest="command", required=True)
@@ -60,25 +80,27 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("-c", "--column", required=True)
     c.add_argument("-v", "--value", required=True)
     c.add_argument("--fill")
-    command("info").add_argument("-n", "--number", type=int, default=3)
+    command("info").add_argument("-n", "--preview", type=int, default=3)
     command("pretty").add_argument("-r", "--round", type=int)
     c = command("csv")
     c.add_argument("-d", "--delim", default=",")
     c.add_argument("--na")
     c.add_argument("--lazy-quotes", action="store_true")
-    c = command("excel", "+", reader=False)
+    c = command("excel", None, reader=False)
     mode = c.add_mutually_exclusive_group(required=True)
-    for m in ("sheets", "preview", "dump", "load"):
-        mode.add_argument(f"--{m}", action="store_true")
+    for m in ("sheets", "preview", "dump"):
+        mode.add_argument(f"--{m}", metavar="FILE")
+    mode.add_argument("--load", nargs="+", action=_Load, metavar="TSV", help="again for each file; a name behind it (-s) is that of its sheet")
     c.add_argument("-H", "--no-header", action="store_true")
-    c.add_argument("-s", "--sheet", action="append")
-    c.add_argument("-n", "--number", type=int, default=10)
+    c.add_argument("-s", "--sheet", action=_Sheet)
+    c.add_argument("-n", "--head", type=int, default=10)
     c.add_argument("-f", "--fields")
+    c.add_argument("--pretty", action="store_true")
     c.add_argument("-r", "--rows")
     c.add_argument("-o", "--out")
     c.add_argument("--na")
     c.add_argument("--dates", choices=("iso", "excel", "raw"))
-    c.add_argument("--types", choices=("auto", "string"), default="auto")
+    c.add_argument("--types", choices=("infer", "string"), default="infer")
     c.add_argument("--formulas", action="store_true")
     c.add_argument("--values", action="store_true")
     c.add_argument("--escape-tabs", action="store_true")
@@ -98,7 +120,7 @@ def _load(spark: SparkSession, a: argparse.Namespace, path: str, spool: str) ->
     more = {"sep": a.delim, "na": a.na, "doubled_quotes": not a.lazy_quotes} if a.command == "csv" else {}
     t = text.read(
         spark, path, header=not a.no_header, comment=a.comment_char, skip_empty=a.ignore_empty_row, skip_ragged=a.ignore_illegal_row,
-        strict=a.command in STRICT and not a.ignore_illegal_row, **more,
+        strict=a.command in STRICT and not a.ignore_illegal_row, multiline=None, **more,
     )
     return Table(t.df, t.names, t.has_header, text_mode=True)
 
@@ -129,7 +151,7 @@ def run(a: argparse.Namespace, spark: SparkSession, spool: str):
         case "pivot":
             return ops.pivot(t, a.index, a.column, a.value, a.fill)
         case "info":
-            facts = ops.info(t, a.number)
+            facts = ops.info(t, a.preview)
             rows = facts.df.select("_c" + str(len(facts.names) - 1)).first()
             shown = ops.cut(facts, ":-2")
             return f"#shape({rows[0] if rows else 0}, {len(t.names)})\n" + "\n".join(text.lines(shown))
@@ -140,32 +162,39 @@ def run(a: argparse.Namespace, spark: SparkSession, spool: str):
 
 
 def _excel(a: argparse.Namespace, spark: SparkSession):
-    path = a.file[0]
     if a.sheets:
-        return "\n".join(f"{n}\t{name}\trows={r}\tcols={c}\ttypes=[{', '.join(k)}]" for n, name, r, c, k in xlsx.list_sheets(path))
+        return "\n".join(f"{n}\t{name}\trows={r}\tcols={c}\ttypes=[{', '.join(k)}]" for n, name, r, c, k in xlsx.list_sheets(a.sheets))
     if a.preview:
-        return xlsx.preview(path, a.sheet, a.number, a.dates or "iso", a.formulas)
+        return xlsx.preview(a.preview, a.sheet, a.head, a.dates or "iso", a.formulas, not a.no_header, a.pretty)
     if a.dump:
         return xlsx.read(
-            spark, path, (a.sheet or ["1"])[0], not a.no_header, a.fields, a.rows, a.na, a.dates or "iso", a.formulas, a.escape_tabs, a.escape_newlines
+            spark, a.dump, (a.sheet or ["1"])[0], not a.no_header, a.fields, a.rows, a.na, a.dates or "iso", a.formulas, a.escape_tabs, a.escape_newlines
         )
     if not a.out:
         raise SystemExit("--load needs -o FILE")
-    names = a.sheet or [f"Sheet{i}" for i in range(1, len(a.file) + 1)]
     tables = {}
-    for n, f in zip(names, a.file):
-        t = text.read(spark, f, header=not a.no_header, comment="")
+    for n, (f, name) in enumerate(a.load, 1):
+        t = text.read(spark, f, header=not a.no_header, comment="", multiline=None)
         if a.no_header and a.fields:
-            heads = a.fields.split(",")
-            t = Table(t.df, tuple(heads[: len(t.names)]), True)
-        tables[n] = t
+            heads = xlsx.header_names(a.fields)
+            t = Table(t.df, tuple(heads[: len(t.names)]) + t.names[len(heads) :], True)
+        if (name or str(n)) in tables:
+            raise SystemExit(f"two sheets of the name {name or n}")
+        tables[name or str(n)] = t
     xlsx.write(a.out, tables, a.max_rows_per_sheet, a.types, a.dates or "excel", a.na, header=not a.no_header or bool(a.fields))
     return ""
 
 
 def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
-    spark = SparkSession.builder.master("local[*]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+    defaults = {"spark.master": "local[*]", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+    if "spark.master" not in dict(SparkConf().getAll()):  # not started by spark-submit: a small session of its own
+        defaults["spark.sql.shuffle.partitions"] = "8"
+    builder = SparkSession.builder
+    for k, v in defaults.items():
+        if k not in dict(SparkConf().getAll()):
+            builder = builder.config(k, v)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     with tempfile.TemporaryDirectory() as spool:
         out = run(a, spark, spool)

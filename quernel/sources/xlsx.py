@@ -20,6 +20,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quernel.functions.selectors import SelectorError, row_spans
+from quernel.sources.text import boxed
 from quernel.table import ORDER, Table
 
 #: Namespaces, the first day of serial dates, number formats that are dates or times.
@@ -211,18 +212,24 @@ def list_sheets(path: str) -> list[tuple[int, str, int, int, list[str]]]:
     return out
 
 
-def preview(path: str, sheets: list[str] | None = None, rows: int = 10, dates: str = "iso", formulas: bool = False) -> str:
-    """Header and first rows of sheets, each behind a banner."""
+def preview(
+    path: str, sheets: list[str] | None = None, rows: int = 10, dates: str = "iso", formulas: bool = False, header: bool = True, framed: bool = False
+) -> str:
+    """Header and first rows of sheets, each behind a banner; framed as by pretty."""
     book, parts = Workbook(path), []
     for which in sheets or list(book.sheets):
         name = book.pick(which) if sheets else which
         number = list(book.sheets).index(name) + 1
-        shown = []
+        shown: list[list[str]] = []
         for row in book.rows(name):
-            if len(shown) > rows:
+            if len(shown) >= rows + (1 if header else 0):
                 break
-            shown.append("\t".join(render(c, dates, formulas, book.epoch) for c in row))
-        parts.append("\n".join([f"#{number} {name}", *(shown or ["<empty sheet>"])]))
+            shown.append([render(c, dates, formulas, book.epoch) for c in row])
+        if framed and shown:
+            body = boxed(shown[0] if header else None, shown[1:] if header else shown)
+        else:
+            body = "\n".join("\t".join(r) for r in shown) or "<empty sheet>"
+        parts.append(f"#{number} {name}\n{body}")
     return "\n\n".join(parts)
 
 
@@ -295,22 +302,34 @@ def read(
 # ---------------------------------------------------------------- writing
 
 
+def header_names(spec: str) -> list[str]:
+    """Names by a list, or by a range: S1..S5."""
+    if ".." not in spec:
+        return [x.strip() for x in spec.split(",") if x.strip()]
+    ends = [re.fullmatch(r"(.*?)(\d+)", x.strip()) for x in spec.split("..")]
+    if len(ends) != 2 or not all(ends) or ends[0][1] != ends[1][1] or int(ends[0][2]) > int(ends[1][2]):
+        raise SelectorError(f"no range of names: {spec!r}")
+    return [f"{ends[0][1]}{n}" for n in range(int(ends[0][2]), int(ends[1][2]) + 1)]
+
+
 def _typed(text: str, types: str, dates: str, na: str | None) -> str | None:
     """The XML of a cell's content, by what its text looks like; None for no cell."""
     if text == "" or text == na:
         return None
     if types != "string":
         if dates == "excel":
-            for pattern, style in ((r"\d{4}-\d{2}-\d{2}", 1), (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?", 2), (r"\d{1,2}:\d{2}:\d{2}", 3)):
+            for pattern, style in ((r"\d{4}-\d{2}-\d{2}", 1), (r"\d{4}-\d{2}-\d{2}[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?[Zz]?", 2), (r"\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?[Zz]?", 3)):
                 if re.fullmatch(pattern, text):
                     try:
-                        at = dt.datetime.fromisoformat(text) if style < 3 else dt.datetime.combine(EPOCH.date(), dt.time.fromisoformat(text.zfill(8)))
+                        day, _, clock = text.rstrip("Zz").replace("T", " ").rpartition(" ") if style > 1 else (text, "", "")
+                        time = dt.time.fromisoformat(clock if clock[1:2] != ":" else "0" + clock) if clock else dt.time()
+                        at = dt.datetime.combine(dt.date.fromisoformat(day) if day else EPOCH.date(), time)
                     except ValueError:
                         break
                     return f' s="{style}"><v>{(at - EPOCH) / dt.timedelta(days=1):.15g}</v>'
         if text.lower() in ("true", "false"):
             return f' t="b"><v>{int(text.lower() == "true")}</v>'
-        if re.fullmatch(r"-?(0|[1-9]\d*)", text) and len(text) < 16 or re.fullmatch(r"[+-]?(\d+\.\d*|\.\d+)([eE][+-]?\d+)?|[+-]?\d+[eE][+-]?\d+", text):
+        if re.fullmatch(r"[+-]?(0|[1-9]\d{0,18})", text) and -(2**63) <= int(text) < 2**63 or re.fullmatch(r"[+-]?(\d+\.\d*|\.\d+)([eE][+-]?\d+)?|[+-]?\d+[eE][+-]?\d+", text):
             return f"><v>{text.lstrip('+')}</v>"
     clean = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", text)
     return f' t="inlineStr"><is><t xml:space="preserve">{escape(clean)}</t></is>'
@@ -333,7 +352,7 @@ def _sheet_xml(out, rows: Iterable[list[str]], types: str, dates: str, na: str |
 
 
 def write(
-    path: str, tables: dict[str, Table], max_rows: int = MAX_ROWS, types: str = "auto", dates: str = "excel", na: str | None = None, header: bool = True
+    path: str, tables: dict[str, Table], max_rows: int = MAX_ROWS, types: str = "infer", dates: str = "excel", na: str | None = None, header: bool = True
 ) -> list[str]:
     """One sheet per table, going on in "Name (2)", ... where it has too many rows; gives the sheets' names.
 

@@ -72,14 +72,48 @@ def test_footers_settle_chunks(spark, tmp_path):
     nan = float("nan")
     pq.write_table(pa.table({"load": ["a", "a"], "n": pa.array([None, None], pa.float64()), "i": [5, 5]}), d / "1.parquet")
     pq.write_table(pa.table({"load": ["a", "b"], "n": pa.array([1.0, nan]), "i": [5, 6]}), d / "2.parquet")
-    facts = {(r.uri[-9:], r.col_name): r.settled for r in footers.footers(spark, str(d), ["n", "i"]).collect()}
-    assert facts == {("1.parquet", "n"): True, ("1.parquet", "i"): True, ("2.parquet", "n"): False, ("2.parquet", "i"): False}
-    counts = footers.value_counts(spark, str(d), ["n", "i"], "load").groupBy("col_name", "load_id", "number").sum("n").collect()
-    assert sorted((r.col_name, r.load_id, str(r.number), r[3]) for r in counts) == [
-        ("i", "a", "5.0", 3), ("i", "b", "6.0", 1), ("n", "a", "1.0", 1), ("n", "a", "None", 2), ("n", "b", "nan", 1)
+    facts = {(r.uri[-9:], r.col_name): (r.way, r.load_settled) for r in footers.footers(spark, str(d), ["n", "i"], "load").collect()}
+    assert facts == {("1.parquet", "n"): ("settled", True), ("1.parquet", "i"): ("settled", True), ("2.parquet", "n"): ("dictionary", False), ("2.parquet", "i"): ("dictionary", False)}
+    counts = footers.value_counts(spark, str(d), ["n", "i"], "load").groupBy("col_name", "load_id", "text", "number").sum("n").collect()
+    assert sorted((r.col_name, r.load_id, str(r.text), str(r.number), r[4]) for r in counts) == [
+        ("i", "a", "5", "None", 3), ("i", "b", "6", "None", 1), ("n", "a", "None", "1.0", 1), ("n", "a", "None", "None", 2), ("n", "b", "NaN", "None", 1)
     ]
 
 
+QUOTED = 'id\tnote\n1\t"two\nlines, ""said"" #3"\n# no row\n2\t"x"\n'
+
+
+@pytest.mark.parametrize("name, pack", [("q.tsv", lambda b: b), ("q.tsv.gz", gzip.compress), ("q.tsv.xz", lzma.compress)])
+def test_quoted_line_ends(spark, tmp_path, name, pack):
+    p = tmp_path / name
+    p.write_bytes(pack(QUOTED.encode()))
+    want = [("1", 'two\nlines, "said" #3'), ("2", "x")]
+    assert got(text.read(spark, str(p), multiline=True)) == want and got(text.read(spark, str(p), multiline=None)) == want
+    with pytest.raises(Exception, match="multiline"):
+        got(text.read(spark, str(p)))
+
+
+def test_folders(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.tsv").write_text(f"# part {i}\na\tb\n{i}\tx\n")
+    assert sorted(got(text.read(spark, str(tmp_path)))) == [("0", "x"), ("1", "x"), ("2", "x")]
+    assert len(got(text.read(spark, str(tmp_path), header=False))) == 6
+    (tmp_path / "9.tsv").write_text("a\tc\n")
+    with pytest.raises(ValueError, match="header"):
+        text.read(spark, str(tmp_path))
+
+
+def test_cells_of_loaded_workbooks():
+    assert [xlsx._typed(t, "infer", "excel", None) for t in ("+5", "-1234567890123456789", "9999999999999999999", "007")] == [
+        "><v>5</v>", "><v>-1234567890123456789</v>", ' t="inlineStr"><is><t xml:space="preserve">9999999999999999999</t></is>', ' t="inlineStr"><is><t xml:space="preserve">007</t></is>'
+    ]
+    assert xlsx._typed("6:30", "infer", "excel", None).startswith(' s="3"><v>0.2708') and xlsx._typed("2024-03-01T12:00Z", "infer", "excel", None) == ' s="2"><v>45352.5</v>'
+    assert "inlineStr" in xlsx._typed("25:99", "infer", "excel", None) and "inlineStr" in xlsx._typed("5", "string", "excel", None)
+    assert xlsx.header_names("S1..S3") == ["S1", "S2", "S3"] and xlsx.header_names("a, b") == ["a", "b"]
+    with pytest.raises(Exception):
+        xlsx.header_names("S3..T4")
+
+
 def test_command_line(spark, tmp_path, capsys):
     from quernel import cli
 
@@ -91,5 +125,13 @@ def test_command_line(spark, tmp_path, capsys):
     assert list(text.lines(run("filter", "-e", "$score / 3 < 30", str(p))))[1:] == ["Alice\tmath\t88", "Cara\tart\t88"]
     assert run("info", str(p)).splitlines()[:2] == ["#shape(3, 3)", "index\tname\ttype\tfirst3"]
     assert "| Alice | math    | 88    |" in run("pretty", str(p))
-    run("excel", "--load", "-s", "S", "-o", str(tmp_path / "w.xlsx"), str(p))
-    assert run("excel", "--sheets", str(tmp_path / "w.xlsx")) == "1\tS\trows=4\tcols=3\ttypes=[string, string, mixed]"
+    assert run("info", "--preview", "1", str(p)).splitlines()[1] == "index\tname\ttype\tfirst1"
+    w = str(tmp_path / "w.xlsx")
+    run("excel", "--load", str(p), "-s", "S", "--load", str(p), "-o", w)
+    assert run("excel", "--sheets", w).splitlines() == [f"{i}\t{n}\trows=4\tcols=3\ttypes=[string, string, mixed]" for i, n in ((1, "S"), (2, "2"))]
+    assert run("excel", "--preview", w, "-n", "1", "--pretty", "-s", "S").splitlines()[:5] == [
+        "#1 S", "+-------+---------+-------+", "| name  | subject | score |", "+-------+---------+-------+", "| Alice | math    | 88    |"
+    ]
+    run("excel", "--load", str(p), str(p), "-H", "-f", "S1..S3", "-o", w)
+    assert run("excel", "--preview", w, "-n", "0", "-s", "2") == "#2 2\nS1\tS2\tS3"
+    assert list(text.lines(run("excel", "--dump", w, "-s", "2", "-r", "2"))) == ["S1\tS2\tS3", "Alice\tmath\t88"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,11 +27,14 @@ def real_key(c: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set (tests)."""
+    """The shared folder of the session. Only a local session that has none gets one of its own, removed at its end."""
     sc = spark.sparkContext
     shared = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
     if not shared:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="quernel-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared)
     return shared

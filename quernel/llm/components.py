@@ -1,7 +1,8 @@
 """Splits that keep what belongs together in one part (problem 7).
 
 Method: frontier breadth-first search from many seeds. Vertices and edges are hash-partitioned
-adjacency rows. Every vertex that is smaller, by hash, than all its neighbours is a seed; all seeds
+adjacency rows; what hangs together among the edges that a task reads is contracted to stars first,
+so that distances are short. Every vertex that is smaller, by hash, than all its neighbours is a seed; all seeds
 expand at once, a round reaching the neighbours of the last round's frontier, and a vertex that two
 seeds reach goes to the smaller one. Edges whose ends went to different seeds make a graph of the
 seeds, at most half as large (no two seeds are neighbours), on which the same is done again until no
@@ -15,6 +16,9 @@ give no components. Records without a key are parts of their own, by their fallb
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +27,8 @@ from quernel.runtime import cut
 
 #: Components are laid into this many buckets, in the order of their hashes, to cumulate sizes.
 BUCKETS = 4096
+#: Vertices that a task contracts at a time.
+VERTICES = 1 << 18
 
 
 def star_edges(df: DataFrame, link: str, member: str) -> DataFrame:
@@ -32,9 +38,44 @@ def star_edges(df: DataFrame, link: str, member: str) -> DataFrame:
     return pairs.join(least, "_k").filter("a != b").select("a", "b").distinct()
 
 
+def _stars(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(a, b): each vertex tied to the one of least hash that it hangs together with, among VERTICES at a time."""
+    up: dict = {}
+    rank: dict = {}
+
+    def root(v):
+        while up[v] != v:
+            up[v] = up[up[v]]
+            v = up[v]
+        return v
+
+    def found() -> pd.DataFrame:
+        ends = [(root(v), v) for v in up]
+        return pd.DataFrame([(r, v) for r, v in ends if r != v], columns=["a", "b"])
+
+    for pdf in it:
+        for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["x"], pdf["y"]):
+            for v, h in ((a, x), (b, y)):
+                if v not in up:
+                    up[v] = v
+                    rank[v] = (h, v)
+            p, q = root(a), root(b)
+            if p != q:
+                p, q = (p, q) if rank[p] < rank[q] else (q, p)
+                up[q] = p
+        if len(up) > VERTICES:
+            yield found()
+            up.clear()
+            rank.clear()
+    if up:
+        yield found()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) of every vertex that has an edge; edges: (a, b)."""
-    e = edges.filter("a is not null and b is not null and a != b")
+    e = edges.filter("a is not null and b is not null and a != b").select("a", "b", F.xxhash64("a").alias("x"), F.xxhash64("b").alias("y"))
+    kind = edges.schema["a"].dataType.simpleString()
+    e = e.mapInPandas(_stars, f"a {kind}, b {kind}")
     both = cut(e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     if both.isEmpty():
         return both.select(F.col("a").alias("v"), F.col("b").alias("root"))

@@ -32,10 +32,14 @@ GRAPHS = {
 }
 
 
+@pytest.mark.parametrize("vertices", [1 << 18, 3])
 @pytest.mark.parametrize("name", GRAPHS)
-def test_components(spark, name):
+def test_components(spark, monkeypatch, name, vertices):
+    """Contracted by the task as a whole, and hardly at all (three vertices and one row at a time)."""
+    monkeypatch.setattr(C, "VERTICES", vertices)
     edges = GRAPHS[name]
-    out = C.components(spark.createDataFrame(edges, "a string, b string")).collect()
+    df = spark.createDataFrame(edges, "a string, b string")
+    out = C.components(df if vertices > 3 else df.repartition(40)).collect()
     groups = {}
     for r in out:
         groups.setdefault(r.root, set()).add(r.v)

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions import regexes, rows, selectors
@@ -37,6 +37,19 @@ class Scope:
     has_header: bool = True
     text_equality: bool = False  # == compares texts even of two numbers
     seed: int = 0
+    lets: list[list[tuple[str, Column]]] = field(default_factory=list)
+
+    def let(self, cols: list[Column]) -> list[Column]:
+        """Names for values that an expression uses more than once; prepare() makes them columns."""
+        names = [f"__let{len(self.lets)}_{i}" for i in range(len(cols))]
+        self.lets.append(list(zip(names, cols)))
+        return [F.col(n) for n in names]
+
+    def prepare(self, df: DataFrame) -> DataFrame:
+        """df with the named values, which Spark then computes once."""
+        for stage in self.lets:
+            df = df.select("*", *[c.alias(n) for n, c in stage])
+        return df
 
 
 _SIMPLE = re.compile(r"\s+|(?P<number>(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)|(?P<name>[A-Za-z_]\w*)|(?P<op>\|\|?|&&?|==|!=|!~|<=|>=|[<>~!+\-*/^(),])")
@@ -301,7 +314,7 @@ class Parser:
                 self.need(",")
         if not cells:
             raise ExpressionError(f"{name}() needs columns")
-        return rows.row_statistic(statistic, cells, self.scope.seed)
+        return rows.row_statistic(statistic, cells, self.scope.seed, self.scope.let)
 
 
 def _truth(v: Val) -> Column:

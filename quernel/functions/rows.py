@@ -39,21 +39,86 @@ def _quantile(ordered: Column, f: float) -> Column:
     return low + (high - low) * (at - F.floor(at))
 
 
-def _flat(name: str, nums: list[Column]) -> Column | None:
-    """Statistics that need no array: plain arithmetic over the cells, compiled into the row's code."""
-    add = lambda cs: reduce(lambda x, y: x + y, cs)
-    total, n = add([F.coalesce(x, F.lit(0.0)) for x in nums]), add([x.isNotNull().cast("int") for x in nums])
+#: Columns up to which statistics are written out as plain arithmetic, which compiles; longer lists go through arrays.
+WRITTEN_OUT, COMPARED = 32, 10
+
+
+def _add(cs: list[Column]) -> Column:
+    return reduce(lambda x, y: x + y, cs)
+
+
+def _first_where(tests: list[Column], values: list[Column]) -> Column:
+    return F.coalesce(*[F.when(t, v) for t, v in zip(tests, values)])
+
+
+def _extreme(nums: list[Column], least: bool) -> Column:
+    return nums[0] if len(nums) == 1 else (F.least if least else F.greatest)(*nums)
+
+
+def _flat(name: str, nums: list[Column], let) -> Column | None:
+    """Statistics as plain arithmetic, without a function called for each cell. let() names what is used more than once."""
+    k = len(nums)
+    if name in ("sd", "var", "absmin", "absmax", "argmin", "argmax") and k <= WRITTEN_OUT:
+        nums = let(nums)
+    total, n = _add([F.coalesce(x, F.lit(0.0)) for x in nums]), _add([x.isNotNull().cast("int") for x in nums])
+    mean = total / F.nullif(n, F.lit(0))
     if name == "sum":
         return total
     if name == "mean":
-        return total / F.nullif(n, F.lit(0))
+        return mean
     if name in ("min", "max"):
-        return nums[0] if len(nums) == 1 else (F.least if name == "min" else F.greatest)(*nums)
+        return _extreme(nums, name == "min")
     if name == "prod":
         return F.when(n > 0, reduce(lambda x, y: x * y, [F.coalesce(x, F.lit(1.0)) for x in nums]))
+    if k > WRITTEN_OUT:
+        return None
+    if name in ("median", "iqr", "trimmean") or fraction(name) is not None:
+        ordered, n = let([F.sort_array(F.array(*nums)), n])  # NULLs first
+    place = lambda i: F.get(ordered, F.lit(k) - n + i)
+
+    def quantile(f: float) -> Column:
+        at = (n - 1) * F.lit(f)
+        low = F.floor(at).cast("int")
+        return place(low) + (place(F.ceil(at).cast("int")) - place(low)) * (at - low)
+
+    f = fraction(name)
+    if f is not None or name == "median":
+        return quantile(0.5 if f is None else f)
+    if name == "iqr":
+        return quantile(0.75) - quantile(0.25)
+    if name == "trimmean":
+        if int(k * TRIM) == 0:
+            return mean
+        t = F.floor(n * F.lit(TRIM)).cast("int")
+        kept = [F.when((F.lit(i) >= t) & (F.lit(i) < n - t), place(F.lit(i))) for i in range(k)]
+        return _add([F.coalesce(x, F.lit(0.0)) for x in kept]) / F.nullif(n - 2 * t, F.lit(0))
+    if name in ("sd", "var"):
+        # Around a value of the row, so that nothing is cancelled that matters: the variance is at least its square's nth part.
+        origin, count = let([F.coalesce(*nums), n])
+        off = let([x - origin for x in nums])
+        first, second = let([_add([F.coalesce(o if p == 1 else o * o, F.lit(0.0)) for o in off]) / F.nullif(count, F.lit(0)) for p in (1, 2)])
+        (var,) = let([F.greatest(second - first * first, F.lit(0.0))])
+        return F.sqrt(var) if name == "sd" else var
+    if name in ("absmin", "absmax"):
+        sizes = [F.abs(x) for x in nums]
+        (wanted,) = let([_extreme(sizes, name == "absmin")])
+        return _first_where([s == wanted for s in sizes], nums)
+    if name in ("argmin", "argmax"):
+        (wanted,) = let([_extreme(nums, name == "argmin")])
+        return _first_where([x == wanted for x in nums], [_add([y.isNotNull().cast("int") for y in nums[: i + 1]]).cast("double") for i in range(k)])
     return None
 
 
+def _compared(name: str, texts: list[Column], let) -> Column:
+    """mode, antimode and entropy from how often each text comes, by comparing all with all."""
+    texts = let(texts)
+    counts = let([_add([(a == b).cast("int") for b in texts]) for a in texts])
+    if name == "entropy":
+        return _add([F.log2(F.lit(float(len(texts))) / c) for c in counts]) / len(texts)
+    wanted = _extreme(counts, name == "antimode")
+    return _first_where([c == wanted for c in counts], texts)
+
+
 def _ranked(name: str, nums: Column) -> Column | None:
     """Statistics of an array of numbers that is not empty."""
     f = fraction(name)
@@ -77,11 +142,11 @@ def _ranked(name: str, nums: Column) -> Column | None:
     return None
 
 
-def row_statistic(name: str, cells: list[Val], seed: int = 0) -> Val:
+def row_statistic(name: str, cells: list[Val], seed: int = 0, let=lambda cols: cols) -> Val:
     """A statistic over the cells; what needs numbers takes the finite ones."""
-    flat = _flat(name, [v.finite for v in cells])
+    flat = _flat(name, [v.finite for v in cells], let)
     if flat is not None:
-        return number(flat)
+        return number(let([flat])[0])
     if name == "count":
         return number(F.lit(float(len(cells))))
     if name in ("first", "last"):
@@ -106,6 +171,9 @@ def row_statistic(name: str, cells: list[Val], seed: int = 0) -> Val:
         counts = lambda d, t: F.transform(d, lambda x: F.size(F.filter(t, lambda y: y == x)))
         return _let(texts, lambda t: _let(F.array_distinct(t), lambda d: _let(counts(d, t), lambda c: use(d, c))))
 
+    if name in ("mode", "antimode", "entropy") and len(cells) <= COMPARED:
+        found = _compared(name, [v.text for v in cells], let)
+        return sure(found) if name == "entropy" else text(found)
     if name in ("mode", "antimode"):
         best = F.array_max if name == "mode" else F.array_min
         return text(counted(lambda d, c: F.element_at(d, F.array_position(c, best(c)).cast("int"))))

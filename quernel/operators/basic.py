@@ -23,7 +23,10 @@ def cut(t: Table, fields: str) -> Table:
 
 def keep(t: Table, expression: str) -> Table:
     """Rows for which the expression holds."""
-    return replace(t, df=t.df.filter(expressions.predicate(expression, t.scope())))
+    scope = t.scope()
+    test = expressions.predicate(expression, scope)
+    df = scope.prepare(t.df).filter(test)
+    return replace(t, df=df.select(*t.df.columns) if scope.lets else df)
 
 
 def _result(t: Table, v: Val):
@@ -75,7 +78,9 @@ def mutate(t: Table, *operations: str, overwrite: bool = False) -> Table:
         if name is None and t.has_header:
             raise expressions.ExpressionError(f"NAME=EXPRESSION expected: {op!r}")
         name = _unquote_name(name) if name is not None and t.has_header else f"col{len(t.names) + 1}"
-        made = _result(t, expressions.value(text, t.scope()))
+        scope = t.scope()
+        made = _result(t, expressions.value(text, scope))
+        t = replace(t, df=scope.prepare(t.df))
         cols = [(n, t.col(i)) for i, n in enumerate(t.names)]
         if overwrite and name in t.names:
             cols[t.names.index(name)] = (name, made)

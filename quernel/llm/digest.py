@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.runtime import join_safe
+from quernel.runtime import cut, join_safe
 
 #: A digest has at most about half as many centroids.
 COMPRESSION = 800
@@ -33,6 +33,8 @@ RANK_ERROR = 0.005
 #: Values (or centroids) that a task holds at a time.
 HELD = 1 << 18
 SALTS = 32
+#: Keys whose marks are broadcast (some 200 bytes each); with more, values are joined by a shuffle.
+BROADCAST_KEYS = 50_000
 
 
 def cluster(key: np.ndarray, mean: np.ndarray, weight: np.ndarray, compression: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,7 +136,10 @@ def certify(df: DataFrame, keys: list[str], value: str, estimates: DataFrame, bo
     """estimates with n, the values below and up to each, the error in ranks as a share of n, and whether it is within bound."""
     v = F.col(f"`{value}`").cast("double")
     values = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf")))
-    marks = estimates.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("q", "estimate"))).alias("_marks"))
+    marks = cut(estimates.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("q", "estimate"))).alias("_marks")))
+    # A row per key. If there are few, values stay where they are and only counts per interval are shuffled.
+    if marks.count() <= BROADCAST_KEYS:
+        marks = F.broadcast(marks)
     # Values are counted by the interval between marks they fall into: small, whatever the group's size.
     both = join_safe(values, marks, keys)
     below = F.aggregate("_marks", F.lit(0), lambda a, m: a + F.when(m["estimate"] < F.col("_v"), 1).otherwise(0))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.llm import components, digest, leakage, packing, shapes, topn
-from quernel.runtime import real_key, table
+from quernel.runtime import cut, real_key, table
 
 QS = [0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99]
 TOKENIZERS = os.environ.get("QUERNEL_TOKENIZERS", "/opt/tokenizers")
@@ -28,7 +28,7 @@ def _measures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    values, keys = _measures(spark, d), ["measure", "grp"]
+    values, keys = cut(_measures(spark, d)), ["measure", "grp"]  # joined once, read by both passes
     partial = digest.digest(values, [*keys, "load_id"], "value")
     estimates = digest.quantiles(digest.merge(partial, keys), keys, QS)
     return digest.certify(values, keys, "value", estimates)

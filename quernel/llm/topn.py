@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a run: what a task sorts at a time.
 RUN_ROWS = 1 << 19
+#: Bytes of input for each bucket (runs are shorter than what they come from).
+BUCKET_BYTES = 32 << 20
 _RUN = "grp string, name string, score double, run bigint"
 
 
@@ -175,6 +177,13 @@ def _batch(keys: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(name, pa.string()), pa.array(-np.array(minus) + 0.0)], ["grp", "name", "score"])
 
 
+def _buckets(df: DataFrame) -> int:
+    """As many buckets as keep one small, since a task merges a bucket in memory."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, size // BUCKET_BYTES) if size < 1 << 50 else least  # beyond: the size is not known
+
+
 def top_names(df: DataFrame, group: str, name: str, score: str, n: int, run_rows: int = RUN_ROWS, buckets: int | None = None) -> DataFrame:
     """(grp, name, score): the n best names of each group."""
     s = F.col(f"`{score}`").cast("double")
@@ -182,6 +191,6 @@ def top_names(df: DataFrame, group: str, name: str, score: str, n: int, run_rows
         F.col("grp").isNotNull() & F.col("name").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
     )
     runs = valid.mapInArrow(_make_runs(n, run_rows), _RUN)
-    spread = runs.repartition(buckets, "grp") if buckets else runs.repartition("grp")
+    spread = runs.repartition(buckets or _buckets(df), "grp")
     # Spark's external sort brings the rows of a run together again, spilling where it must.
     return spread.sortWithinPartitions("run", "grp", F.desc("score"), "name").mapInArrow(_merge(n), "grp string, name string, score double")

@@ -12,6 +12,7 @@ from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 from quernel import operators as ops
+from quernel.runtime import SETTINGS
 from quernel.sources import text, xlsx
 from quernel.table import Table
 
@@ -187,7 +188,7 @@ def _excel(a: argparse.Namespace, spark: SparkSession):
 
 def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
-    defaults = {"spark.master": "local[*]", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+    defaults = SETTINGS | {"spark.master": "local[*]", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
     if "spark.master" not in dict(SparkConf().getAll()):  # not started by spark-submit: a small session of its own
         defaults["spark.sql.shuffle.partitions"] = "8"
     builder = SparkSession.builder

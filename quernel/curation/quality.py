@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quernel.functions.quantiles import log_bucket
 from quernel.runtime import cut, join_safe
 from quernel.sources.footers import footers, value_counts
 
@@ -45,12 +46,6 @@ def readings(counts: DataFrame, limits: dict[str, tuple[float, bool, float | Non
     return out.withColumns({"in_range": F.col("value").isNotNull() & fits, "digits": same})
 
 
-def _log_bucket(v):
-    """A whole number that grows with v: 256 buckets for each doubling, whatever the range."""
-    size = F.floor(F.log2(F.abs(v)) * 256) + 300_000
-    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * size).cast("long")
-
-
 def _middle(laid: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of the buckets (_b) that hold ranks _low and _high, with _before raised by what lies in earlier buckets."""
     order = W.partitionBy(*keys).orderBy("_b")
@@ -68,7 +63,7 @@ def exact_medians(values: DataFrame, keys: list[str]) -> DataFrame:
     """
     totals = values.groupBy(*keys).agg(F.sum("n").alias("_total"))
     ranks = totals.select(*keys, F.floor((F.col("_total") - 1) / 2).alias("_low"), F.floor(F.col("_total") / 2).alias("_high"), F.lit(0).cast("long").alias("_before"))
-    laid = join_safe(values.select(*keys, "value", "n"), ranks, keys).withColumn("_b", _log_bucket(F.col("value")))
+    laid = join_safe(values.select(*keys, "value", "n"), ranks, keys).withColumn("_b", log_bucket(F.col("value")))
     first = _middle(laid, keys)
     parts = [*keys, "_b"]
     span = first.groupBy(*parts).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))

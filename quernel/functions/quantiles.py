@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def fraction(token: str) -> float | None:
     """The share that a token stands for; None if it is no quantile token."""
@@ -16,3 +19,9 @@ def fraction(token: str) -> float | None:
     if m[3] is None:
         return n / 4 if n <= 4 else n / 100 if n <= 100 else None
     return n if n <= 1 else n / 100 if n <= 100 else None
+
+
+def log_bucket(v: Column) -> Column:
+    """A whole number that grows with v: 256 buckets for each doubling, whatever the range."""
+    size = F.floor(F.log2(F.abs(v)) * 256) + 300_000
+    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * size).cast("long")

@@ -88,8 +88,9 @@ def join(tables: list[Table], on: str, keep: str = "", select: str | None = None
         out = sides[0].withColumn("rank", F.struct(F.lit(0).alias("t"), F.min("o0").over(W.partitionBy(*k)).alias("o")))
         for s in sides[1:]:
             out = _equi(out, s, k, "inner")
+    elif len(tables) == 2 and len(members) == 2 and tables[0].df.schema[ORDER].dataType == tables[1].df.schema[ORDER].dataType:
+        out = _full(*sides, k)
     else:
-        out = None
         if len(members) == 1:
             n = members[0]
             out = sides[n].withColumn("rank", F.struct(F.lit(n).alias("t"), F.min(f"o{n}").over(W.partitionBy(*k)).alias("o")))
@@ -115,6 +116,16 @@ def join(tables: list[Table], on: str, keep: str = "", select: str | None = None
     return Table(out, tuple(names), tables[0].has_header, tables[0].text_mode).with_columns(cols, order)
 
 
+def _full(left, right, keys: list[str]):
+    """Both tables with every key of either; a key goes by its first row in the first table, else in the second."""
+    first = lambda n: F.struct(F.lit(n).alias("t"), F.min(f"o{n}").over(W.partitionBy(*keys)).alias("o"))
+    a = left.withColumn("first0", first(0))
+    b = right.withColumn("first1", first(1)).select(*[F.col(c).alias("r" + c) if c in keys else F.col(c) for c in [*right.columns, "first1"]])
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col("r" + c)) for c in keys])
+    both = a.join(b, same, "full_outer").withColumn("rank", F.coalesce("first0", "first1"))
+    return both.withColumns({c: F.when(F.col("p0").isNull(), F.col("r" + c)).otherwise(F.col(c)) for c in keys}).drop(*["r" + c for c in keys], "first0", "first1")
+
+
 def _equi(left, right, keys: list[str], how: str):
     renamed = right.select(*[F.col(c).alias("r" + c) if c in keys else F.col(c) for c in right.columns])
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col("r" + c)) for c in keys])

@@ -16,8 +16,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernel.functions import rows, selectors
-from quernel.functions.quantiles import fraction
+from quernel.functions.quantiles import fraction, log_bucket
 from quernel.functions.values import Val
+from quernel.runtime import join_safe
 from quernel.table import ORDER, Table
 
 BY_FREQUENCY = {"mode", "antimode", "entropy", "unique", "countunique"}
@@ -132,9 +133,14 @@ def _frequencies(base: DataFrame, g: list[str], v: Val, by: list) -> DataFrame:
 
 def _ranks(base: DataFrame, g: list[str], v: Val, by: list) -> DataFrame:
     counts = base.select(*g, v.finite.alias("v")).filter("v is not null").groupBy(*g, "v").agg(F.count(F.lit(1)).alias("n"))
-    order = W.partitionBy(*g).orderBy("v") if g else W.partitionBy(F.lit(0)).orderBy("v")
-    every = W.partitionBy(*g) if g else W.partitionBy(F.lit(0))
-    placed = counts.withColumn("b", F.sum("n").over(order)).withColumn("a", F.col("b") - F.col("n")).withColumn("t", F.sum("n").over(every))
+    # Values are ordered within buckets, so that a large group is spread over tasks; what lies before a bucket comes from sums.
+    counts = counts.withColumn("bucket", log_bucket(F.col("v")))
+    sums = counts.groupBy(*g, "bucket").agg(F.sum("n").alias("s"))
+    within = [F.col(c) for c in g] or [F.lit(0)]
+    sums = sums.withColumn("before", F.sum("s").over(W.partitionBy(*within).orderBy("bucket")) - F.col("s")).withColumn("t", F.sum("s").over(W.partitionBy(*within)))
+    inner = W.partitionBy(*g, "bucket").orderBy("v")
+    placed = join_safe(counts, sums.drop("s"), [*g, "bucket"])
+    placed = placed.withColumn("b", F.sum("n").over(inner) + F.col("before")).withColumn("a", F.col("b") - F.col("n"))
     total = F.col("t")
     at = lambda rank: F.max(F.when((F.col("a") <= rank) & (F.col("b") > rank), F.col("v")))
 

@@ -10,6 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Session settings that suit the plans built here. The JVM leaves methods of more than 8000 bytes uncompiled; Spark splits
+#: them only if told so, and wide rows of statistics grow beyond that.
+SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table by name (one Parquet file or folder per table)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

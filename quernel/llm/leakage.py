@@ -48,9 +48,10 @@ NEEDED = math.ceil(CONTAINED * SPAN - 1e-9)
 BLOCK_CHARS = 1_000_000
 #: Lines in a row that may be set in between the lines of a passage; more of them are an article of their own.
 SET_IN = 12
-#: Lines before and after candidate windows that are read word by word as well: a window lacks no more words of a passage than
-#: NEEDED shingles leave, each may stand on a line of its own, and something may be set in on the way.
-MARGIN = SET_IN + RUN - (NEEDED + SHINGLE - 1)
+#: Words of a run that a candidate window holds at least; and lines before and after it that are read word by word as well: it
+#: lacks no more words of a passage than those leave, each may stand on a line of its own, and something may be set in on the way.
+CORE = NEEDED + SHINGLE - 1
+MARGIN = SET_IN + RUN - CORE
 #: Pages that a task looks up at a time.
 PAGES = 200
 
@@ -100,14 +101,20 @@ class Seen:
     def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of x are there, where the first of each stands)"""
         maybe = np.flatnonzero(self.bits[self._bit(x)])
-        order = np.argsort(x[maybe], kind="stable")  # neighbours in the array are looked up together
-        maybe = maybe[order]
+        maybe = maybe[np.argsort(x[maybe])]  # neighbours in the array are looked up together
         at = np.searchsorted(self.keys, x[maybe])
         at[at == len(self.keys)] = 0
         same = self.keys[at] == x[maybe]
-        maybe, at = maybe[same], at[same]
-        order = np.argsort(maybe, kind="stable")
-        return maybe[order], at[order]
+        place = np.full(len(x), -1)
+        place[maybe[same]] = at[same]
+        found = np.flatnonzero(place >= 0)
+        return found, place[found]
+
+
+def _once(x: np.ndarray) -> np.ndarray:
+    """The different values in order."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
 
 
 def _shingles(h: np.ndarray) -> np.ndarray:
@@ -215,7 +222,7 @@ class Items:
             return begins, begins
         at = _spread(begins, sizes)
         sig = _minhash(self.universe[values[at]], np.cumsum(sizes) - sizes)
-        held = np.unique(np.repeat(np.arange(len(begins)), sizes) * len(self.universe) + values[at])
+        held = _once(np.repeat(np.arange(len(begins)), sizes) * len(self.universe) + values[at])
         out: list[np.ndarray] = []
         low = 0
         for high in SIZES:
@@ -227,9 +234,9 @@ class Items:
                 some = of_size[c : c + (1 << 12)]
                 b = _bands(sig[some], r)
                 hit, key = seen.find(b.ravel())
-                pairs = np.unique(np.repeat(some[hit // b.shape[1]], firsts[key + 1] - firsts[key]) * len(self.ids) + owners[_spread(firsts[key], firsts[key + 1] - firsts[key])])
+                pairs = _once(np.repeat(some[hit // b.shape[1]], firsts[key + 1] - firsts[key]) * len(self.ids) + owners[_spread(firsts[key], firsts[key + 1] - firsts[key])])
                 out.append(self._enough(*np.divmod(pairs, len(self.ids)), values, begins, sizes, held))
-        return np.divmod(np.unique(np.concatenate(out)), len(self.ids))
+        return np.divmod(_once(np.concatenate(out)), len(self.ids))
 
     def _enough(self, w: np.ndarray, i: np.ndarray, places: np.ndarray, begins: np.ndarray, sizes: np.ndarray, held: np.ndarray) -> np.ndarray:
         """window * items + item of the pairs where the window holds NEEDED of SPAN shingles in a row of the item."""
@@ -480,25 +487,35 @@ def leaks(pages: list[tuple], items: Items, hashes: Hashes, folds: Folds) -> lis
     read, ends_real = [r for r, k in zip(read, kept) if k], ends_real[kept]
     places, begins, sizes, firsts = _windows(h, ends_real, items)
     window, item = items.candidates(places, begins, sizes)
-    # The lines around the candidate windows of a page and an item, windows that touch taken together.
     first = firsts[window]
     of = np.searchsorted(ends_real, first, side="right")
-    a = line[first] - MARGIN
-    z = line[np.minimum(first + 2 * RUN, ends_real[of]) - 1] + MARGIN + 1
-    spans: dict[tuple[int, int], list[list[int]]] = {}
-    for k, i, a, z in zip(of.tolist(), item.tolist(), a.tolist(), z.tolist()):
-        known = spans.setdefault((k, i), [])
-        if known and a <= known[-1][1]:
-            known[-1][1] = z
-        else:
-            known.append([a, z])
+    last = line[np.minimum(first + 2 * RUN, ends_real[of]) - 1]
+    cores: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for k, i, a, z in zip(of.tolist(), item.tolist(), line[first].tolist(), last.tolist()):
+        start = read[k][2]
+        cores.setdefault((k, i), []).append((a - start, z - start + 1))
+    written: dict[tuple[int, int], list] = {}
+
+    def run(k: int, i: int, a: int, z: int, enough: int) -> bool:
+        lines = read[k][1]
+        for n in range(a, z):
+            if (k, n) not in written:
+                written[k, n] = [(folds[w], w) for w in lines[n]]
+        return longest_run(items.words[i], [written[k, n] for n in range(a, z)], enough, items.index[i]) >= enough
+
     out = []
-    for (k, i), parts in spans.items():
-        page, lines, start = read[k]
+    for (k, i), parts in cores.items():
+        # What a window holds of a run has so many words by itself; then the lines around it are read as well.
+        parts = [p for p in parts if run(k, i, *p, CORE)]
+        spans: list[list[int]] = []
         for a, z in parts:
-            if longest_run(items.words[i], [[(folds[w], w) for w in ws] for ws in lines[max(0, a - start) : z - start]], RUN, items.index[i]) >= RUN:
-                out.append((page, items.ids[i]))
-                break
+            a, z = max(0, a - MARGIN), min(len(read[k][1]), z + MARGIN)
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = z
+            else:
+                spans.append([a, z])
+        if any(run(k, i, a, z, RUN) for a, z in spans):
+            out.append((read[k][0], items.ids[i]))
     return out
 
 

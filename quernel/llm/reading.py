@@ -43,9 +43,8 @@ def _columns(x0: np.ndarray, width: float) -> list[float]:
         return []
     xs = np.sort(x0)
     cuts = np.flatnonzero(np.diff(xs) > 6 * width) + 1
-    least = max(2, len(xs) // 50)
     edges = [0, *cuts.tolist(), len(xs)]
-    kept = [_middle(xs[a:z]) for a, z in zip(edges, edges[1:]) if z - a >= least]
+    kept = [_middle(xs[a:z]) for a, z in zip(edges, edges[1:]) if z - a > 1]  # an edge that only one line has begins no column
     return kept or [float(xs[0])]
 
 

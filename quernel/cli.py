@@ -127,7 +127,7 @@ def _load(spark: SparkSession, a: argparse.Namespace, path: str, spool: str) ->
 
 
 def run(a: argparse.Namespace, spark: SparkSession, spool: str):
-    """The result as a table or as text."""
+    """The result as a table, as text or as lines."""
     if a.command == "excel":
         return _excel(a, spark)
     tables = [_load(spark, a, f, spool) for f in (a.file if isinstance(a.file, list) else [a.file])]
@@ -157,7 +157,7 @@ def run(a: argparse.Namespace, spark: SparkSession, spool: str):
             shown = ops.cut(facts, ":-2")
             return f"#shape({rows[0] if rows else 0}, {len(t.names)})\n" + "\n".join(text.lines(shown))
         case "pretty":
-            return text.pretty(t, 2_000_000_000, a.round)
+            return text.pretty_lines(t, a.round)
         case _:
             return t
 
@@ -200,7 +200,7 @@ def main(argv: list[str] | None = None) -> int:
     with tempfile.TemporaryDirectory() as spool:
         out = run(a, spark, spool)
         try:
-            for line in text.lines(out) if isinstance(out, Table) else [out] if out else []:
+            for line in text.lines(out) if isinstance(out, Table) else [out] if isinstance(out, str) and out else out or []:
                 sys.stdout.write(line + "\n")
             sys.stdout.flush()
         except BrokenPipeError:

@@ -19,9 +19,8 @@ def query(name: str, sql: str | None, build: Callable[[Callable], Table], digits
     """Registers build(load); load(name, order_by) gives a table. Doubles are rounded to some digits."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        def load(n: str, order_by=None, where=None, columns=None) -> Table:
+        def load(n: str, order_by=None, columns=None) -> Table:
             df = table(spark, d, n)
-            df = df.filter(where) if where else df
             return Table.of(df.select(*columns) if columns else df, order_by)
 
         df = build(load).to_df()
@@ -58,6 +57,8 @@ query("cut_ranges", "select c_custkey, c_name, c_acctbal, c_mktsegment from cust
 query("cut_all_but_last", "select p_partkey, p_name, p_brand, p_type, p_size from part", lambda t: cut(t("part"), ":-2"))
 query("cut_repeated", 'select n_name, n_nationkey, n_name as "n_name#2" from nation', lambda t: cut(t("nation"), "n_name,n_nationkey,`n_name`"))
 
+query("cut_trailing_comma", "select c_name, c_custkey from customer", lambda t: cut(t("customer"), "c_name,c_custkey,"))
+
 # ---------------------------------------------------------------- filter
 
 _LINE = "l_orderkey,l_linenumber,l_quantity,l_extendedprice"
@@ -113,6 +114,15 @@ query("mutate_substitute", "select p_partkey, regexp_replace(p_brand, '([A-Za-z]
 query("mutate_overwrite", "select n_nationkey::double * 2 as n_nationkey, n_name, n_regionkey from nation", lambda t: mutate(t("nation"), "n_nationkey=$n_nationkey * 2", overwrite=True))
 query("mutate_appended", 'select n_nationkey, n_name, n_regionkey, n_regionkey::double + 1 as "n_regionkey#2" from nation', lambda t: mutate(t("nation"), "n_regionkey=$n_regionkey + 1"))
 
+query("mutate_minus_in_name", 'select o_orderkey, round(o_totalprice * 2 - 1, 4) as x from orders',
+      lambda t: cut(mutate(t("orders", columns=["o_orderkey", F.col("o_totalprice").alias("o-price")]), "x=$o-price*2 - 1"), "o_orderkey,x"))
+query("mutate_other_letters", 'select p_partkey, p_size * 1.0::double as "Maß" from part',
+      lambda t: cut(mutate(t("part", columns=["p_partkey", F.col("p_size").alias("größe")]), "Maß=$größe * 1"), "p_partkey,Maß"))
+query("mutate_list_as_text", "select o_orderkey, o_orderstatus || chr(9) || o_orderpriority as both from orders",
+      lambda t: cut(mutate(t("orders"), "both=$o_orderstatus,$o_orderpriority"), "o_orderkey,both"))
+query("mutate_without_header", 'select p_partkey as col1, p_size as col2, p_partkey + p_size::double as col3 from part',
+      lambda t: mutate(Table.of(t("part", columns=["p_partkey", "p_size"]).to_df().toDF("col1", "col2"), ["col1"]).headless(), "$1 + $-1"))
+
 # ---------------------------------------------------------------- summarize
 
 _G = "l_returnflag,l_linestatus"
@@ -146,36 +156,41 @@ select o_orderpriority, {'s': arg_min(o_orderstatus, k)} as f, {'s': arg_max(o_o
   arg_min(k, (o_totalprice, k))::double as a, arg_max(k, (o_totalprice, -k))::double as b from r group by 1)""",
       lambda t: summarize(t("orders", ["o_orderkey"]), ["o_orderstatus=first,last", "o_totalprice=absmin,absmax,argmin,argmax"], "o_orderpriority"))
 _summary("collapse", ["n_name=collapse,distinct"], "string_agg(n_name, ',' order by n_nationkey) as n_name_collapse, count(distinct n_name)::double as n_name_distinct", group="n_regionkey", source="nation", order=["n_nationkey"])
-query("summarize_product", "select p_brand, round(log10(product(p_size)), 4) as magnitude from part where p_size <= 3 group by 1", lambda t: cut(mutate(summarize(t("part", where="p_size <= 3"), "p_size=prod", "p_brand"), "magnitude=log10($p_size_prod)"), "p_brand,magnitude"))
+query("summarize_product", "select l_orderkey, round(log10(product(l_quantity)), 4) as magnitude from lineitem group by 1",
+      lambda t: cut(mutate(summarize(t("lineitem", LINE_KEY), "l_quantity=prod", "l_orderkey"), "magnitude=log10($l_quantity_prod)"), "l_orderkey,magnitude"))
 _summary("sample_free_ranges", ["l_tax:l_quantity=max"], "max(l_tax) as l_tax_max, max(l_discount) as l_discount_max, round(max(l_extendedprice), 4) as l_extendedprice_max, max(l_quantity) as l_quantity_max", group="l_linenumber")
 query("summarize_random", None, lambda t: summarize(t("orders", ["o_orderkey"]), "o_orderstatus=rand", "o_orderpriority", seed=7))
 
 # ---------------------------------------------------------------- join
 
 query("join_inner", "select r_regionkey, r_name, n_nationkey, n_name from region join nation on r_regionkey = n_regionkey", lambda t: join([t("region"), t("nation")], "r_regionkey;n_regionkey"))
-query("join_full", """
-select coalesce(r_regionkey, n_regionkey) as r_regionkey, r_name, n_nationkey, n_name from (select * from region where r_regionkey < 3) full join (select * from nation where n_regionkey > 1) on r_regionkey = n_regionkey""",
-      lambda t: join([t("region", where="r_regionkey < 3"), t("nation", where="n_regionkey > 1")], "r_regionkey;n_regionkey", keep="0"))
-query("join_left", "select c_custkey, c_name, o_orderkey from customer left join (select * from orders where o_totalprice > 200000) on c_custkey = o_custkey",
-      lambda t: join([t("customer"), t("orders", where="o_totalprice > 200000")], "c_custkey;o_custkey", keep="1", select="c_name;o_orderkey"))
-query("join_right", "select o_custkey as c_custkey, c_name, o_orderkey from (select * from customer where c_acctbal > 0) right join orders on c_custkey = o_custkey",
-      lambda t: join([t("customer", where="c_acctbal > 0"), t("orders")], "c_custkey;o_custkey", keep="2", select="c_name;o_orderkey"))
+_SIDES = ["sample_id", "rec_id"]
+_A, _B, _C = (f"(select coalesce(sample_id, '') as k, rec_id, load_id from {t})" for t in ("samples", "qc", "cytokines"))
+query("join_full", f'select coalesce(a.k, b.k) as sample_id, a.rec_id, b.rec_id as "rec_id#2" from {_A} a full join {_B} b on a.k = b.k',
+      lambda t: join([t("samples", ["rec_id"], columns=_SIDES), t("qc", ["rec_id"], columns=_SIDES)], "sample_id", keep="0"))
+query("join_left", f'select a.k as sample_id, a.rec_id, b.rec_id as "rec_id#2" from {_A} a left join {_B} b on a.k = b.k',
+      lambda t: join([t("samples", ["rec_id"]), t("qc", ["rec_id"])], "sample_id", keep="1", select="rec_id;rec_id"))
+query("join_right", f'select b.k as sample_id, a.rec_id, b.rec_id as "rec_id#2" from {_A} a right join {_B} b on a.k = b.k',
+      lambda t: join([t("samples", ["rec_id"]), t("qc", ["rec_id"])], "sample_id", keep="2", select="rec_id;rec_id"))
 query("join_three", """
 select n_regionkey, n_name, r_name, c_name from nation join region on n_regionkey = r_regionkey join customer on n_regionkey = c_nationkey""",
       lambda t: join([t("nation"), t("region"), t("customer")], "n_regionkey;r_regionkey;c_nationkey", select="n_name;r_name;c_name"))
-query("join_keep_some", """
-with k as (select r_regionkey as k from region where r_regionkey < 2 union select c_nationkey from customer where c_nationkey > 20)
-select k as r_regionkey, r_name, n_name, c_name from k left join (select * from region where r_regionkey < 2) on k = r_regionkey left join nation on k = n_nationkey left join (select * from customer where c_nationkey > 20) on k = c_nationkey""",
-      lambda t: join([t("region", where="r_regionkey < 2"), t("nation"), t("customer", where="c_nationkey > 20")], "r_regionkey;n_nationkey;c_nationkey", keep="1,3", select="r_name;n_name;c_name"))
-query("join_two_keys", "select a.l_orderkey, a.l_linenumber, a.l_quantity, a.l_tax, b.l_quantity as \"l_quantity#2\" from lineitem a join (select * from lineitem where l_quantity > 45) b using (l_orderkey, l_linenumber)",
-      lambda t: join([t("lineitem"), t("lineitem", where="l_quantity > 45")], "l_orderkey,l_linenumber", select="l_quantity,l_tax;l_quantity"))
-query("join_fill", "select r_regionkey, r_name, coalesce(n_name, 'none') as n_name from region left join (select * from nation where n_nationkey < 5) on r_regionkey = n_regionkey",
-      lambda t: join([t("region"), t("nation", where="n_nationkey < 5")], "r_regionkey;n_regionkey", keep="1", select="r_name;n_name", fill="none"))
-query("join_merge", "select o_orderkey, o_custkey, l_partkey from orders join lineitem on o_orderkey = l_orderkey where o_totalprice > 300000",
-      lambda t: join([t("orders", where="o_totalprice > 300000"), t("lineitem")], "o_orderkey;l_orderkey", select="o_custkey;l_partkey", merge=True))
+query("join_keep_some", f"""
+with keys as (select k from {_A} union select k from {_C})
+select keys.k as sample_id, a.rec_id, b.rec_id as "rec_id#2", c.rec_id as "rec_id#3" from keys left join {_A} a using (k) left join {_B} b using (k) left join {_C} c using (k)""",
+      lambda t: join([t(n, ["rec_id"], columns=_SIDES) for n in ("samples", "qc", "cytokines")], "sample_id", keep="1,3"))
+query("join_two_keys", "select a.l_orderkey, a.l_linenumber, a.l_quantity, a.l_tax, b.l_quantity as \"l_quantity#2\" from lineitem a join lineitem b using (l_orderkey, l_linenumber)",
+      lambda t: join([t("lineitem"), t("lineitem")], "l_orderkey,l_linenumber", select="l_quantity,l_tax;l_quantity"))
+query("join_fill", f"select a.k as sample_id, a.load_id, case when b.k is null then 'none' else b.load_id end as \"load_id#2\" from {_A} a left join {_B} b on a.k = b.k",
+      lambda t: join([t("samples", ["rec_id"]), t("qc", ["rec_id"])], "sample_id", keep="1", select="load_id;load_id", fill="none"))
+query("join_merge", "select o_orderkey, o_custkey, l_partkey from orders join lineitem on o_orderkey = l_orderkey",
+      lambda t: join([t("orders"), t("lineitem")], "o_orderkey;l_orderkey", select="o_custkey;l_partkey", merge=True))
 query("join_text_keys", "select n_name, r_name from nation join region on n_regionkey::varchar = r_regionkey::varchar",
       lambda t: cut(join([t("nation", columns=["n_name", F.col("n_regionkey").cast("string").alias("k")]), t("region", columns=[F.col("r_regionkey").cast("string").alias("k"), "r_name"])], "k"), "n_name,r_name"))
 
+query("join_order", "select r_regionkey, r_name, n_nationkey, n_name from (select *, row_number() over (order by r_regionkey, n_nationkey) as k from region join nation on r_regionkey = n_regionkey) where k between 4 and 17",
+      lambda t: take(join([t("region", ["r_regionkey"]), t("nation", ["n_nationkey"])], "r_regionkey;n_regionkey"), "4:17"))
+
 # ---------------------------------------------------------------- sort, slice
 
 
@@ -183,6 +198,18 @@ query("sort_top", "select c_custkey, c_acctbal from customer order by c_acctbal
 query("sort_texts", "select c_mktsegment, c_name from customer order by c_mktsegment desc, c_name limit 40", lambda t: take(sort(cut(t("customer", ["c_custkey"]), "c_mktsegment,c_name"), "c_mktsegment:r", "c_name"), ":40"))
 query("sort_from_end", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey desc limit 10", lambda t: take(sort(cut(t("orders", ["o_orderkey"]), "o_orderkey,o_totalprice"), "o_totalprice:n"), "-10:"))
 query("sort_stable", "select n_nationkey, n_regionkey from nation order by n_regionkey, n_nationkey limit 7", lambda t: take(sort(cut(t("nation", ["n_nationkey"]), "n_nationkey,n_regionkey"), "n_regionkey:num"), "1:7"))
+_SORTED = "select {}, l_quantity from (select *, row_number() over (order by l_quantity{} , {}) as k, count(*) over () as n from lineitem) where "
+
+
+def _places(name: str, key: str, spec: str, sql: str, turned: str = "") -> None:
+    """Rows by place in a table sorted by another column, wherever they lie after a shuffle."""
+    by = ", ".join(LINE_KEY)
+    query(name, _SORTED.format(by, turned, by) + sql, lambda t: take(sort(cut(t("lineitem", LINE_KEY), f"{_K},l_quantity"), key), spec))
+
+
+_places("sort_slice_middle", "l_quantity:n", "20000:20100,300:", "k >= 300")
+_places("sort_slice_range", "l_quantity:nr", "30001:30100", "k between 30001 and 30100", " desc")
+_places("sort_slice_tail", "l_quantity:n", "-25:", "k > n - 25")
 _S = "select o_orderkey, o_totalprice from (select *, row_number() over (order by o_orderkey) as k, count(*) over () as n from orders) where "
 
 

@@ -1,4 +1,4 @@
-"""One query per feature of readers, sinks and the command line: a table goes out as text or a workbook and comes back.
+"""One query per feature of readers, sinks, the command line and streams: a table goes out as text or a workbook and comes back.
 
 Files lie in the session's checkpoint folder, written by the executors where a format allows.
 """
@@ -13,7 +13,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel import cli
+from quernel import cli, streaming
+from quernel.operators import cut, keep, mutate
 from quernel.runtime import checkpoint_dir, table
 from quernel.sources import text, xlsx
 from quernel.table import Table
@@ -171,6 +172,32 @@ def command_line(spark: SparkSession, d: str) -> DataFrame:
     return t.df.select(*[t.cell(i).text.alias(n) for i, n in enumerate(names)])
 
 
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}*.parquet")
+
+
+def _drained(df: DataFrame, mode: str) -> DataFrame:
+    """What a stream comes to once all that is there has gone through it."""
+    path = _folder(df.sparkSession)
+    writer = df.writeStream.option("checkpointLocation", f"{path}-state").outputMode(mode).trigger(availableNow=True)
+    writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)).start().awaitTermination()
+    return df.sparkSession.read.parquet(path)
+
+
+@query("stream_windows", """
+select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, event_type, round(sum(value), 3) as value_sum, count(*)::double as value_count, round(max(value), 3) as value_max from events group by 1, 2""")
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    events = _stream(spark, d, "events")
+    out = _drained(streaming.summarize_windows(events, "ts", "1 hour", ["value=sum,count,max"], "event_type"), "complete")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "event_type", F.round("value_sum", 3).alias("value_sum"), "value_count", F.round("value_max", 3).alias("value_max"))
+
+
+@query("stream_rows", "select event_id, user_id * 2.0::double as twice from events where event_type <> 'click' and user_id > 10")
+def stream_rows(spark: SparkSession, d: str) -> DataFrame:
+    t = keep(streaming.stream_table(_stream(spark, d, "events")), '$event_type != "click" & $user_id > 10')
+    return _drained(cut(mutate(t, "twice=$user_id * 2"), "event_id,twice").to_df(), "append")
+
+
 def queries() -> dict:
     return {k: f for k, (f, _) in _ALL.items()}
 

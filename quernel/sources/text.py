@@ -203,6 +203,32 @@ def pretty(t: Table, rows: int = 1000, digits: int | None = None) -> str:
     return boxed(list(t.names) if t.has_header else None, body)
 
 
+def pretty_lines(t: Table, digits: int | None = None) -> Iterator[str]:
+    """The whole table as lines of a frame: widths come from one pass, rows a partition at a time from another."""
+    if not t.names:
+        return
+    shown = t.df.select(*[t.cell(i).text.alias(f"c{i}") for i in range(len(t.names))], ORDER)
+    if digits is not None:
+        short = F.pandas_udf(lambda s: s.map(lambda x: rounded(x, digits)), "string")
+        shown = shown.select(*[short(f"c{i}").alias(f"c{i}") for i in range(len(t.names))], ORDER)
+    found = shown.agg(*[F.max(F.char_length(f"c{i}")) for i in range(len(t.names))]).first()
+    widths = [max(w or 0, len(n) if t.has_header else 0) for w, n in zip(found, t.names)]
+    if all(w is None for w in found) and not t.has_header:
+        return
+    rule = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
+    line = lambda r: "|" + "|".join(f" {c.ljust(w)} " for c, w in zip(r, widths)) + "|"
+    yield rule
+    if t.has_header:
+        yield line(t.names)
+        yield rule
+    some = False
+    for r in shown.orderBy(ORDER).drop(ORDER).toLocalIterator():
+        some = True
+        yield line(r)
+    if some or not t.has_header:
+        yield rule
+
+
 def boxed(header: list[str] | None, body: list[list[str]]) -> str:
     """Rows in a frame; short rows are filled up."""
     table = ([header] if header else []) + body

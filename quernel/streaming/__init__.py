@@ -25,6 +25,8 @@ def stream_table(df: DataFrame) -> Table:
 
 def summarize_windows(df: DataFrame, time: str, window: str, stats: list[str], group: str | None = None, late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """window_start, groups and statistics per window of event time; rows later than `late` are dropped."""
+    if df.schema[time].dataType.typeName() == "timestamp_ntz":  # watermarks need a point in time: that of the session's zone
+        df = df.withColumn(time, F.col(f"`{time}`").cast("timestamp"))
     watched = df.withWatermark(time, late)
     t = stream_table(watched)
     wanted = parse_stats(stats, list(t.names))

@@ -54,6 +54,10 @@ class Table:
         cols = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(df.columns)]
         return Table(df.select(*cols, order.alias(ORDER)), tuple(df.columns), True, text_mode)
 
+    def headless(self) -> Table:
+        """The same rows without a header: columns are known by place."""
+        return replace(self, has_header=False)
+
     def to_df(self) -> DataFrame:
         """The table as a DataFrame; a repeated name gets #2, #3, ..."""
         seen: Counter = Counter()

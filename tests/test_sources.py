@@ -47,6 +47,8 @@ def test_write_and_pretty(spark, tmp_path):
     text.write(t, str(tmp_path / "out"), ordered=True)
     back = text.read(spark, str(next((tmp_path / "out").glob("*.txt"))))
     assert got(back) == [("1", "", "2"), ("2", "y", "1.5")]
+    assert list(text.pretty_lines(t, 0)) == text.pretty(t, digits=0).splitlines()
+    assert list(text.pretty_lines(t)) == text.pretty(t).splitlines() and list(text.pretty_lines(Table(t.df.limit(0), t.names))) == text.pretty(Table(t.df.limit(0), t.names)).splitlines()
     assert text.pretty(t, digits=0).splitlines()[1:5] == ["| i | s | d |", "+---+---+---+", "| 1 |   | 2 |", "| 2 | y | 2 |"]
 
 
@@ -124,7 +126,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert list(text.lines(run("slice", "-r", "2", str(p)))) == ["name\tsubject\tscore", "Bob\tmath\t92"]
     assert list(text.lines(run("filter", "-e", "$score / 3 < 30", str(p))))[1:] == ["Alice\tmath\t88", "Cara\tart\t88"]
     assert run("info", str(p)).splitlines()[:2] == ["#shape(3, 3)", "index\tname\ttype\tfirst3"]
-    assert "| Alice | math    | 88    |" in run("pretty", str(p))
+    assert list(run("pretty", str(p)))[:4] == ["+-------+---------+-------+", "| name  | subject | score |", "+-------+---------+-------+", "| Alice | math    | 88    |"]
+    assert list(run("pretty", "-H", "-r", "0", str(p)))[1:3] == ["| name  | subject | score |", "| Alice | math    | 88    |"]
     assert run("info", "--preview", "1", str(p)).splitlines()[1] == "index\tname\ttype\tfirst1"
     w = str(tmp_path / "w.xlsx")
     run("excel", "--load", str(p), "-s", "S", "--load", str(p), "-o", w)

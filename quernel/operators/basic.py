@@ -120,7 +120,8 @@ def sort(t: Table, *keys: str) -> Table:
             by.append(_turned(v.text) if turned else v.text)
     # The order is a function of the row (keys, then its place before), never of where the row lies after a shuffle.
     order = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by)], F.col(ORDER).alias("o"))
-    return replace(t, df=t.df.withColumn(ORDER, order).orderBy(ORDER))
+    # Sorted by the fields of the struct, whose first bytes the sort compares at once.
+    return replace(t, df=t.df.withColumn(ORDER, order).orderBy(*[F.col(f"{ORDER}.k{i}") for i in range(len(by))], F.col(f"{ORDER}.o")))
 
 
 def _turned(text: Column) -> Column:

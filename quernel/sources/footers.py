@@ -133,24 +133,33 @@ def _group_counts(uri: str, g: int, ways: dict[str, str], load: str) -> Iterator
             yield c, None if name is None else str(name), as_text, number, k
 
 
-def value_counts(spark: SparkSession, path: str, columns: list[str], load: str, chunks: DataFrame | None = None) -> DataFrame:
+def value_counts(spark: SparkSession, path: str, columns: list[str], load: str) -> DataFrame:
     """(col_name, load_id, text or number, n): how often each value of each column lies in each load; whole numbers come as text."""
-    chunks = footers(spark, path, columns, load) if chunks is None else chunks
     whole = spark.read.parquet(path)
     files = whole.inputFiles()
-    insufficient = chunks.filter("way = 'scan'").select("uri", "col_name").distinct().collect()
+    insufficient = footers(spark, path, columns, load).filter("way = 'scan'").select("uri", "col_name").distinct().collect()
     names = [x.split()[0] for x in COUNT_SCHEMA.split(", ")]
     # Files that are scanned for a column are scanned for all of its chunks.
     scanned = {c: {r.uri for r in insufficient if r.col_name == c} for c in columns}
-    ways = chunks.filter("way != 'scan'").groupBy("uri", "grp").agg(F.map_from_entries(F.collect_list(F.struct("col_name", "way"))).alias("ways"))
+    uris = spark.createDataFrame([(u,) for u in files], "uri string").repartition(max(1, min(len(files), 2000)))
+
+    def groups(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            found: dict[tuple, dict] = {}
+            for uri in pdf["uri"]:
+                for _, g, c, *_, way, _ in _footer(uri, columns, load):
+                    if way != "scan" and uri not in scanned[c]:
+                        found.setdefault((uri, g), {})[c] = way
+            yield pd.DataFrame([(u, g, list(w), list(w.values())) for (u, g), w in found.items()], columns=["uri", "grp", "cols", "ways"]).astype({"grp": "int32"})
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            for uri, g, w in zip(pdf["uri"], pdf["grp"], pdf["ways"]):
-                mine = {c: x for c, x in dict(w).items() if uri not in scanned[c]}
-                if mine:
-                    yield pd.DataFrame(list(_group_counts(uri, int(g), mine, load)), columns=names).astype({"number": "float64"})
+            for uri, g, cs, ws in zip(pdf["uri"], pdf["grp"], pdf["cols"], pdf["ways"]):
+                yield pd.DataFrame(list(_group_counts(uri, int(g), dict(zip(cs, ws)), load)), columns=names).astype({"number": "float64"})
 
+    # Row groups are spread by number: their list is tiny, what stands behind it is not, so sizes must not decide.
+    tasks = max(len(files), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ways = uris.mapInPandas(groups, "uri string, grp int, cols array<string>, ways array<string>").repartition(tasks)
     parts = [ways.mapInPandas(read, COUNT_SCHEMA)]
     load_id = F.col(f"`{load}`").cast("string").alias("load_id")
     for c in columns:

@@ -64,12 +64,12 @@ def exact_medians(values: DataFrame, keys: list[str]) -> DataFrame:
     totals = values.groupBy(*keys).agg(F.sum("n").alias("_total"))
     ranks = totals.select(*keys, F.floor((F.col("_total") - 1) / 2).alias("_low"), F.floor(F.col("_total") / 2).alias("_high"), F.lit(0).cast("long").alias("_before"))
     laid = join_safe(values.select(*keys, "value", "n"), ranks, keys).withColumn("_b", log_bucket(F.col("value")))
-    first = _middle(laid, keys)
+    first = cut(_middle(laid, keys))  # the values of a bucket or two a key
     parts = [*keys, "_b"]
     span = first.groupBy(*parts).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     step = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("value") - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / BUCKETS))).otherwise(0)
     second = join_safe(first, F.broadcast(span), parts).withColumn("_outer", F.col("_b")).withColumn("_b", step.cast("long")).drop("_lo", "_hi")
-    inside = _middle(second, [*keys, "_outer"])
+    inside = cut(_middle(second, [*keys, "_outer"]))
     end = F.sum("n").over(W.partitionBy(*keys, "_outer", "_b").orderBy("value")) + F.col("_before")
     inside = inside.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("n"))
     holds = lambda rank: F.max(F.when((F.col("_start") <= F.col(rank)) & (F.col("_end") > F.col(rank)), F.col("value")))

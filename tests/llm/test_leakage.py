@@ -84,3 +84,48 @@ def test_query(spark, monkeypatch, block):
     assert got == [(1, 3), (6, 3), (7, 3)]
     assert find(df.limit(0), "doc_id", "text", boxes, it, "item_id", "text").collect() == []
     assert find(df, "doc_id", "text", boxes.limit(0), it.limit(0), "item_id", "text").collect() == []
+
+
+def test_candidates_against_all_pairs():
+    """Bands, bits and sliding sums find what an exhaustive count of shingles finds, and nothing else."""
+    rnd = random.Random(11)
+    few = VOCABULARY[:60]  # so that items share many shingles
+    texts = [" ".join(rnd.choice(few) if rnd.random() < 0.7 else rnd.choice(VOCABULARY) for _ in range(rnd.randint(10, 70))) for _ in range(80)]
+    items = leakage.Items(list(enumerate(texts)))
+    hashes = leakage.Hashes()
+    words_, ends = [], []
+    for _ in range(300):
+        page = [rnd.choice(few) for _ in range(rnd.randint(0, 60))]
+        source = rnd.choice(texts).split()
+        a = rnd.randint(0, max(0, len(source) - 16))
+        page += [w if rnd.random() > 0.06 else rnd.choice(VOCABULARY) for w in source[a : a + 25]] + [rnd.choice(few) for _ in range(rnd.randint(1, 60))]
+        words_ += page
+        ends.append(len(words_))
+    h = leakage._hashed(words_, hashes)
+    places, begins, sizes, firsts = leakage._windows(h, np.array(ends), items)
+    window, item = items.candidates(places, begins, sizes)
+    found = set(zip(window.tolist(), item.tolist()))
+    exact = set()
+    for w, (b, n) in enumerate(zip(begins.tolist(), sizes.tolist())):
+        held = set(places[b : b + n].tolist())
+        for i, (s, k) in enumerate(zip(items.starts.tolist(), items.lengths.tolist())):
+            own = [p in held for p in items.places[s : s + k].tolist()]
+            if any(sum(own[j : j + leakage.SPAN]) >= leakage.NEEDED for j in range(k - leakage.SPAN + 1)):
+                exact.add((w, i))
+    assert len(exact) > 150 and found <= exact and len(found) >= 0.98 * len(exact)
+    edges = [0, *ends]
+    assert all(any(a <= f < z for a, z in zip(edges, edges[1:])) for f in firsts.tolist())
+
+
+def test_longer_texts_between():
+    advert = ["WANTED a steady man"] * leakage.SET_IN
+    assert run([*lines_of(ITEM[:12]), *advert, *lines_of(ITEM[12:24])]) >= 24
+    assert run([*lines_of(ITEM[:12]), *advert, advert[0], *lines_of(ITEM[12:24])]) < 15
+
+
+def test_pages_of_a_batch_are_kept_apart():
+    items = leakage.Items([(1, " ".join(ITEM))])
+    halves = [(1, " ".join(ITEM[:12]), None), (2, " ".join(ITEM[12:24]), None), (3, "", None), (4, "- -- |", None), (5, " ".join(ITEM[:16]), None)]
+    assert leakage.leaks(halves, items, leakage.Hashes(), leakage.Folds()) == [(5, 1)]
+    assert leakage.leaks(halves, leakage.Items([]), leakage.Hashes(), leakage.Folds()) == []
+    assert leakage.leaks([(9, "ab cd", None)], items, leakage.Hashes(), leakage.Folds()) == []

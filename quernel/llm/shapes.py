@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,12 +48,18 @@ NEAR = 120
 SHAPES, MOST = 24, 0.46
 
 
+#: Counts of a piece are summed side by side in one number, each in so many bits: capitals, separators, links, tags, figures,
+#: connectors, repeated words.
+BITS = 32
+CONNECTOR, REPEATED = 1 << 5 * BITS, 1 << 6 * BITS
+
+
 class Words(dict):
-    """(folded letters, folded short word or "", link, tag, figure, capital, separators) of a word, kept for words seen before."""
+    """(folded letters, folded short word or "", counts side by side) of a word, kept for words seen before."""
 
     KEPT = 1 << 18
 
-    def __missing__(self, word: str) -> tuple:
+    def __missing__(self, word: str) -> tuple[str, str, int]:
         link, tag = bool(LINK.search(word)), bool(TAG.search(word))
         bare = word.strip(EDGES)
         letters = "".join([c for c in word.lower() if c.isalpha()]).translate(LOOKALIKE)
@@ -60,7 +67,8 @@ class Words(dict):
         digits = sum([c.isdigit() for c in bare])
         figure = not link and not tag and digits > 0 and 2 * digits >= len(bare)
         seps = word.count(",") + word.count(";") + word.count("|") + word.count("#")
-        got = letters, letters if short else "", link, tag, figure, word[:1].isupper(), seps
+        counts = sum([int(x) << k * BITS for k, x in enumerate((word[:1].isupper(), seps, link, tag, figure))])
+        got = letters, letters if short else "", counts
         if len(self) < self.KEPT:
             self[word] = got
         return got
@@ -72,9 +80,9 @@ def _connectors(flat: list[tuple]) -> list[bool]:
     few = FEW * min(len(flat), BLOCK) // BLOCK
     for a in range(0, len(flat), BLOCK):
         first = max(0, min(a, len(flat) - BLOCK))  # the last block is as long as the others
-        counts = Counter([w[1] for w in flat[first : first + BLOCK] if w[1]])
-        most = counts.most_common(few)
-        ordinary = {k for k, _ in most} if sum([n for _, n in most]) >= DOMINANT * sum(counts.values()) else ()
+        around = [w[1] for w in flat[first : first + BLOCK] if w[1]]
+        most = Counter(around).most_common(few) if few and around else ()
+        ordinary = {k for k, _ in most} if most and sum([n for _, n in most]) >= DOMINANT * len(around) else ()
         for i in range(a, min(a + BLOCK, len(flat))):
             w = flat[i][1]
             out[i] = w != "" and w not in ordinary
@@ -111,17 +119,22 @@ def shapes(text: str, words: Words) -> Counter:
     flat = [w for p in pieces for w in p]
     connectors = _connectors(flat)
     repeated = _repeated(flat, connectors)
+    counts = [w[2] + (CONNECTOR if c else REPEATED if r else 0) for w, c, r in zip(flat, connectors, repeated)]
     out: Counter = Counter()
     at = 0
     for p in pieces:
         n = len(p)
-        _, _, links, tags, figures, capitals, seps = zip(*p)
-        parts = sum(capitals), sum(seps), sum(links), sum(tags), sum(figures), sum(connectors[at : at + n]), sum(repeated[at : at + n])
-        out[(min(n.bit_length(), 5), *[_level(x, n) for x in parts[:3]], 10 * parts[3] >= 3 * n, *[_level(x, n) for x in parts[4:]])] += n
+        out[_shape(n, sum(counts[at : at + n]))] += n
         at += n
     return out
 
 
+@lru_cache(maxsize=1 << 16)
+def _shape(n: int, counts: int) -> tuple:
+    parts = [counts >> k * BITS & (1 << BITS) - 1 for k in range(7)]
+    return (min(n.bit_length(), 5), *[_level(x, n) for x in parts[:3]], 10 * parts[3] >= 3 * n, *[_level(x, n) for x in parts[4:]])
+
+
 def no_sentence(shape: tuple) -> bool:
     """Whether a shape is one of links, tags or repeated keywords."""
     _, _, _, links, tags, figures, connectors, repeated = shape

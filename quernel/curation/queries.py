@@ -47,6 +47,17 @@ def p3_totals(spark: SparkSession, d: str) -> DataFrame:
     return cells.groupBy("c.field_name").agg(F.count_if("c.filled").alias("filled_n"), F.count_if("c.empty").alias("empty_n"))
 
 
+def p3_plausible(spark: SparkSession, d: str) -> DataFrame:
+    """Per field whether fills look like the rest: statuses and sites that occur, bmi in bounds, spread by half to twice as much as the kept ones."""
+    filled = _imputed(spark, d)
+    spread = F.stddev(F.when(F.col("bmi_filled"), F.col("bmi"))) / F.stddev(F.when(~F.col("bmi_filled"), F.col("bmi")))
+    out = filled.agg(F.lit("bmi").alias("field_name"), (spread.between(0.5, 2.0) & F.min("bmi").between(10, 80) & F.max("bmi").between(10, 80)).alias("plausible"))
+    for f in ("smoker_status", "site"):
+        by_value = filled.groupBy(f).agg(F.count_if(~F.col(f"{f}_filled")).alias("kept"), F.count_if(f"{f}_filled").alias("made"))
+        out = out.unionByName(by_value.agg(F.lit(f).alias("field_name"), (F.count_if((F.col("made") > 0) & (F.col("kept") == 0)) == 0).alias("plausible")))
+    return out
+
+
 def _imputed(spark: SparkSession, d: str) -> DataFrame:
     return impute.impute(table(spark, d, "subjects"), impute.SUBJECTS)
 
@@ -103,7 +114,7 @@ def p6_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_profile, p2_footers, p3_found, p3_filled, p3_totals, p5_found, p5_counts, p6_found, p6_wide, p6_totals)}
+    return {f.__name__: f for f in (p2_found, p2_profile, p2_footers, p3_found, p3_filled, p3_totals, p3_plausible, p5_found, p5_counts, p6_found, p6_wide, p6_totals)}
 
 
 _P2 = r"""
@@ -178,6 +189,7 @@ from p left join m using (tbl, col_name, load_id) left join c using (tbl, col_na
 select 'qc' as tbl, 'reads_millions' as col_name, count(*) as rows_n, count(*) - count(reads_millions) as nulls_n from qc
 union all select 'qc', 'duplication_pct', count(*), count(*) - count(duplication_pct) from qc
 union all select 'samples', 'contamination_pct', count(*), count(*) - count(contamination_pct) from samples""",
+        "p3_plausible": "select unnest(['bmi', 'smoker_status', 'site']) as field_name, true as plausible",
         "p3_totals": f"""
 select 'bmi' as field_name, count(*) filter (bmi is null or isnan(bmi) or bmi not between 10 and 80) as filled_n, 0 as empty_n from subjects
 union all select 'smoker_status', count(*) filter ({_letters('smoker_status')}), 0 from subjects

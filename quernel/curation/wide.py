@@ -139,7 +139,7 @@ def sparse(rows: DataFrame, types: dict[str, str], entity: str, attribute: str,
     spread = local.mapInArrow(_local_fold(names), schema).repartition(buckets, "entity")
     latest = F.when(F.col("entry").isNotNull(), F.struct(F.struct(*names).alias("version"), "entry")).alias("latest")
     folded = _fold(spread.select("run", "entity", "attribute", latest, "code", "differs", "readable"), "run")
-    return folded.groupBy("run", "entity").agg(F.array_sort(F.collect_list(F.struct(*CELL)), lambda x, y: F.when(x["attribute"] < y["attribute"], -1).otherwise(1)).alias("cells"))
+    return folded.groupBy("run", "entity").agg(F.sort_array(F.collect_list(F.struct(*CELL))).alias("cells"))
 
 
 class Log:
@@ -150,27 +150,45 @@ class Log:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.path = path or f"{checkpoint_dir(spark)}/quernel-wide-{uuid.uuid4().hex}"
         self.name = f"quernel_wide_{uuid.uuid4().hex}"
-
-    def _write(self, wide: DataFrame, mode: str, path: str) -> None:
-        wide.write.partitionBy("run").bucketBy(self.buckets, "entity").sortBy("entity").option("path", path).option("compression", "zstd").mode(mode).format("parquet").saveAsTable(self.name)
+        try:  # buckets are known to tables of a catalog only
+            self.bucketed = spark.catalog.databaseExists("default")
+        except Exception:  # noqa: BLE001  a session whose catalog can't be used (no folder of its own)
+            self.bucketed = False
+
+    def _write(self, wide: DataFrame) -> None:
+        sorted_runs = wide if self.bucketed else wide.sortWithinPartitions("run", "entity")  # a bucketed write sorts by itself
+        out = sorted_runs.write.partitionBy("run").option("compression", "zstd").mode("append")
+        if self.bucketed:
+            out.bucketBy(self.buckets, "entity").sortBy("entity").option("path", self.path).format("parquet").saveAsTable(self.name)
+        else:
+            out.parquet(self.path)
+
+    def _cells(self) -> DataFrame:
+        """The cells of all runs, merged; without buckets that takes a shuffle."""
+        runs = self.spark.table(self.name) if self.bucketed else self.spark.read.parquet(self.path)
+        return _fold(runs.select("entity", F.explode("cells").alias("c")).select("entity", "c.*"))
+
+    def drop(self) -> None:
+        """Forgets the table; its files stay for who still reads them."""
+        if self.bucketed:
+            self.spark.sql(f"drop table if exists `{self.name}`")
 
     def upsert(self, rows: DataFrame, types: dict[str, str], entity: str, attribute: str, value: str, version: list[str], load: str | None = None) -> Log:
         """A run per load of a batch; runs that are there are not read."""
-        self._write(sparse(rows, types, entity, attribute, value, version, load, self.buckets), "append", self.path)
+        self._write(sparse(rows, types, entity, attribute, value, version, load, self.buckets))
         return self
 
     def cells(self) -> DataFrame:
         """All runs merged: one row per cell, the latest readable entry, whether entries conflict or can't be read."""
-        merged = _fold(self.spark.table(self.name).select("entity", F.explode("cells").alias("c")).select("entity", "c.*"))
-        return merged.select(
+        return self._cells().select(
             "entity", "attribute", F.col("latest.entry").alias("entry"), F.col("differs").alias("conflict"), (~F.col("readable")).alias("unreadable"),
         )
 
     def compact(self) -> Log:
-        """A log of one run, with the same cells; this one stays as it is until it is dropped."""
+        """A log of one run, with the same cells; this one stays as it is."""
         out = Log(self.spark, buckets=self.buckets)
-        merged = _fold(self.spark.table(self.name).select("entity", F.explode("cells").alias("c")).select("entity", "c.*"))
-        out._write(merged.groupBy("entity").agg(F.collect_list(F.struct(*CELL)).alias("cells")).withColumn("run", F.lit("")), "append", out.path)
+        out.bucketed = self.bucketed
+        out._write(self._cells().groupBy("entity").agg(F.collect_list(F.struct(*CELL)).alias("cells")).withColumn("run", F.lit("")))
         return out
 
 

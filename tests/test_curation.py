@@ -67,18 +67,21 @@ CELLS = [
 ]
 
 
-def _wide(spark, rows, batches=()):
+def _wide(spark, rows, batches=(), bucketed=True):
     types = wide.attribute_types(spark.createDataFrame(GENES, "gene string, value_type string"), "gene", "value_type")
     df = spark.createDataFrame(rows, "rec_id long, sample_id string, gene string, v string, loaded_at timestamp_ntz").selectExpr("*", "1 as entity", "2 as conflict", "'q' as run", "'z' as cells")
     log = wide.Log(spark, buckets=3)
+    assert log.bucketed
+    log.bucketed = bucketed
     for part in batches or [None]:  # one batch, or one after another
         log.upsert(df if part is None else df.filter(part), types, "sample_id", "gene", "v", ["loaded_at", "rec_id"])
     return (log.compact() if batches else log).cells(), types
 
 
+@pytest.mark.parametrize("bucketed", [True, False])
 @pytest.mark.parametrize("batches", [(), ("rec_id % 3 = 0", "rec_id % 3 = 1", "rec_id % 3 = 2", "rec_id % 3 = 1")])
-def test_wide(spark, batches):
-    cells, types = _wide(spark, CELLS, batches)
+def test_wide(spark, batches, bucketed):
+    cells, types = _wide(spark, CELLS, batches, bucketed)
     assert sorted(tuple(r) for r in wide.issues(cells).collect()) == [("S1", "G2", "unreadable"), ("S1", "G3", "conflict"), ("S2", "G1", "unreadable"), ("S4", "G1", "unreadable")]
     got = {r[0]: r.asDict() for r in wide.widen(cells, types, "entity").collect()}
     assert got["S1"] == {"entity": "S1", "ENTITY_": None, "G1": 1.5, "G2": 7, "G3": False, "G4": "b"}

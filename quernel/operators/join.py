@@ -96,9 +96,13 @@ def join(tables: list[Table], on: str, keep: str = "", select: str | None = None
             out = sides[n].withColumn("rank", F.struct(F.lit(n).alias("t"), F.min(f"o{n}").over(W.partitionBy(*k)).alias("o")))
             rest = [i for i in range(len(sides)) if i != n]
         else:
-            firsts = [sides[n].groupBy(*k).agg(F.min(f"o{n}").alias("o")).select(*k, F.lit(n).alias("t"), F.to_json(F.struct("o")).alias("j"), "o") for n in members]
-            same = len({f.schema["o"].dataType.simpleString() for f in firsts}) == 1
-            firsts = [f.select(*k, F.struct("t", "o" if same else F.col("j").alias("o")).alias("r")) for f in firsts]
+            # A key goes by its first row in the first of these tables that has it; orders of different tables may be of different types.
+            kinds = {n: tables[n].df.schema[ORDER].dataType for n in members}
+
+            def first(n: int) -> Column:
+                return F.struct(F.lit(n).alias("t"), *[(F.min(f"o{n}") if i == n else F.lit(None).cast(kind)).alias(f"o{i}") for i, kind in kinds.items()])
+
+            firsts = [sides[n].groupBy(*k).agg(first(n).alias("r")) for n in members]
             out = reduce(lambda a, b: a.unionByName(b), firsts).groupBy(*k).agg(F.min("r").alias("rank"))
             rest = list(range(len(sides)))
         for i in rest:

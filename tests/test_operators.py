@@ -202,3 +202,11 @@ def test_numbers_that_differ_late(spark):
 def test_patterns_of_a_column_are_those_of_the_language(spark):
     t = Table.of(spark.createDataFrame([("ab", "a(?=b)"), ("ab\n", "b$"), ("ab", "b$"), ("ab", "[")], "s string, p string"), ["s", "p"])
     assert [r[1] for r in rows(keep(t, "$s ~ $p"))] == ["b$"]
+
+
+def test_order_of_joins_of_tables_ordered_by_different_kinds(spark):
+    a = Table.of(spark.createDataFrame([(k, k) for k in (100, 9, 20)], "k int, a int"), ["a"])
+    b = sort(Table.of(spark.createDataFrame([(k, f"b{k}") for k in (3, 20, 1)], "k int, b string"), ["k"]), "b:r")
+    c = Table.of(spark.createDataFrame([(k,) for k in (7, 20)], "k int"), ["k"])
+    assert [r[0] for r in rows(join([a, b], "k", keep="0"))] == [9, 20, 100, 3, 1]
+    assert [r[0] for r in rows(join([a, b, c], "k", keep="0"))] == [9, 20, 100, 3, 1, 7]

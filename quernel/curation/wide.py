@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.runtime import checkpoint_dir, real_key
+from quernel.runtime import checkpoint_dir, real_key, side_by_side
 
 #: The entries that mean true and false.
 TRUE, FALSE = ("true", "t", "yes", "y", "1"), ("false", "f", "no", "n", "0")
@@ -201,15 +201,13 @@ def issues(cells: DataFrame) -> DataFrame:
 def widen(cells: DataFrame, types: dict[str, str], entity_name: str) -> DataFrame:
     """One row per entity and one typed column per attribute of the dictionary."""
     names = sorted(types)
-    # Every entry goes to its column by a hash of the attribute, not by asking each column.
-    wide = cells.groupBy("entity").pivot("attribute", names).agg(F.first("entry")) if names else cells.select("entity").distinct()
-    wide = wide.toDF("\tentity", *[f"\t{i}" for i in range(len(names))])  # no attribute in key form begins with a tab
+    wide = side_by_side(cells, ["entity"], "attribute", "entry", names)
     typed = []
     for i, a in enumerate(names):
-        c = F.col(f"\t{i}")
+        c = F.col(f"_h{i}")
         if types[a] == "boolean":
             c = F.when(F.lower(c).isin(*TRUE), True).when(F.lower(c).isin(*FALSE), False)
         elif types[a] != "string":
             c = c.try_cast(types[a])
         typed.append(c.alias(a + "_" if a.lower() == entity_name.lower() else a))
-    return wide.select(F.col("\tentity").alias(entity_name), *typed)
+    return wide.select(F.col("entity").alias(entity_name), *typed)

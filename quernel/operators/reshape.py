@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quernel.functions import selectors
+from quernel.runtime import side_by_side
 from quernel.table import ORDER, Table
 
 #: More columns than this are an error: their names have to fit into a plan.
@@ -35,11 +36,10 @@ def pivot(t: Table, index: str, columns: str, values: str, fill: str | None = No
     cells = base.groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("n"), F.first("v").alias("v"), F.min(ORDER).alias("o"))
     alone = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("two rows for the cell of column "), F.col("c")))).otherwise(F.struct(F.col("v").alias("x")))
     cells = cells.withColumn("v", alone)
-    # A map per row, then a column per head: heads may differ in case only.
-    out = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("m"), F.min("o").alias(ORDER))
+    out = side_by_side(cells, keys, "c", "v", heads, F.min("o").alias(ORDER))
     cols = [(names[i], F.col(f"i{k}")) for k, i in enumerate(idx)]
-    for h in heads:
-        x = F.try_element_at("m", F.lit(h))
+    for n, h in enumerate(heads):
+        x = F.col(f"_h{n}")
         cols.append((h, F.when(x.isNull(), F.lit(fill)).otherwise(x["x"].cast("string")) if fill is not None else x["x"]))
     return Table(out, tuple(names[i] for i in idx), t.has_header, t.text_mode).with_columns(cols)
 

@@ -68,3 +68,27 @@ def join_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
         eq = F.col(f"`{k}`").eqNullSafe(F.col(f"`_right_{k}`"))
         same = eq if same is None else same & eq
     return left.join(renamed, same, how).drop(*["_right_" + k for k in keys])
+
+
+#: Columns whose cells are looked up in one array: what a wide row costs is its columns times at most so many comparisons of numbers.
+BESIDE = 256
+
+
+def side_by_side(cells: DataFrame, keys: list[str], head: str, value: str, heads: list[str], *more: Column) -> DataFrame:
+    """One row per keys with a column _h0, _h1, ... per head, holding the value of its cell, and the aggregates `more`.
+
+    cells: one row per keys and head; a NULL value is no cell. heads are few enough to be columns, so
+    the table of their places is small.
+    """
+    places = cells.sparkSession.createDataFrame(list(zip(heads, range(len(heads)))), "_head string, _place int")
+    placed = cells.join(F.broadcast(places), F.col(head) == F.col("_head"), "left")
+    blocks = range(-(-len(heads) // BESIDE))
+    made = []
+    for b in blocks:
+        here = (F.floor(F.col("_place") / BESIDE) == b) & F.col(value).isNotNull()
+        # Both lists of a row are filled together, in the same order.
+        made += [F.collect_list(F.when(here, F.col("_place"))).alias(f"_p{b}"), F.collect_list(F.when(here, F.col(value))).alias(f"_v{b}")]
+    wide = placed.groupBy(*keys).agg(*made, *more)
+    kept = [c for c in wide.columns if c[:2] not in ("_p", "_v") or not c[2:].isdigit()]
+    found = [F.get(F.col(f"_v{i // BESIDE}"), (F.array_position(F.col(f"_p{i // BESIDE}"), i) - 1).cast("int")).alias(f"_h{i}") for i in range(len(heads))]
+    return wide.select(*kept, *found)

@@ -52,7 +52,7 @@ def _middle(laid: DataFrame, keys: list[str]) -> DataFrame:
     sums = laid.groupBy(*keys, "_b").agg(F.sum("n").alias("_n"), F.first("_low").alias("_low"), F.first("_high").alias("_high"), F.first("_before").alias("_earlier"))
     sums = sums.withColumn("_before", F.col("_earlier") + F.sum("_n").over(order) - F.col("_n"))
     held = sums.filter((F.col("_before") <= F.col("_high")) & (F.col("_before") + F.col("_n") > F.col("_low"))).select(*keys, "_b", "_before")
-    return join_safe(laid.drop("_before"), F.broadcast(held), [*keys, "_b"])  # two buckets a key at most
+    return join_safe(laid.drop("_before"), held, [*keys, "_b"])  # two buckets a key at most
 
 
 def exact_medians(values: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,7 +68,7 @@ def exact_medians(values: DataFrame, keys: list[str]) -> DataFrame:
     parts = [*keys, "_b"]
     span = first.groupBy(*parts).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     step = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("value") - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / BUCKETS))).otherwise(0)
-    second = join_safe(first, F.broadcast(span), parts).withColumn("_outer", F.col("_b")).withColumn("_b", step.cast("long")).drop("_lo", "_hi")
+    second = join_safe(first, span, parts).withColumn("_outer", F.col("_b")).withColumn("_b", step.cast("long")).drop("_lo", "_hi")
     inside = cut(_middle(second, [*keys, "_outer"]))
     end = F.sum("n").over(W.partitionBy(*keys, "_outer", "_b").orderBy("value")) + F.col("_before")
     inside = inside.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("n"))

@@ -79,7 +79,8 @@ def _records(spark: SparkSession, path: str, sep: str, comment: str, doubled: bo
                     if len(held) >= 20_000:
                         yield pd.DataFrame({"file": file, "f": held})
                         held = []
-                yield pd.DataFrame({"file": [file] * len(held), "f": held})
+                if held:  # Arrow takes no list from a frame of no rows
+                    yield pd.DataFrame({"file": file, "f": held})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "file string, f array<string>")
 

@@ -138,3 +138,14 @@ def test_command_line(spark, tmp_path, capsys):
     run("excel", "--load", str(p), str(p), "-H", "-f", "S1..S3", "-o", w)
     assert run("excel", "--preview", w, "-n", "0", "-s", "2") == "#2 2\nS1\tS2\tS3"
     assert list(text.lines(run("excel", "--dump", w, "-s", "2", "-r", "2"))) == ["S1\tS2\tS3", "Alice\tmath\t88"]
+
+
+def test_quoted_line_ends_in_whole_batches_and_empty_files(spark, tmp_path):
+    """Files of no rows, and of just as many as are handed on at once."""
+    (tmp_path / "0.tsv").write_text("")
+    (tmp_path / "1.tsv").write_text("".join(f'{i}\t"a\nb"\n' for i in range(20_000)))
+    (tmp_path / "2.tsv").write_text('x\t"a\nb"\n')
+    t = text.read(spark, str(tmp_path), header=False, multiline=None)
+    assert t.df.count() == 20_001 and t.df.select("_c1").distinct().collect() == [("a\nb",)]
+    (tmp_path / "3.tsv").write_text("# no row\n")
+    assert text.read(spark, str(tmp_path / "3.tsv"), multiline=True).names == ()

@@ -3,7 +3,7 @@
 Keys are compared as texts (or as numbers where all key columns are of one numeric type), missing
 keys being equal. Which keys are kept is decided before rows are multiplied: the kept key set is the
 union of the key columns of the tables named, and every table is left-joined to it. Spark chooses
-broadcast, hash or merge joins by size and splits skewed partitions.
+a broadcast or merge join by size for the first two, further tables are merged; skewed partitions are split.
 """
 
 from __future__ import annotations
@@ -86,8 +86,7 @@ def join(tables: list[Table], on: str, keep: str = "", select: str | None = None
     if members is None:
         # The order of an inner join: by the first row of the key in table 1.
         out = sides[0].withColumn("rank", F.struct(F.lit(0).alias("t"), F.min("o0").over(W.partitionBy(*k)).alias("o")))
-        for s in sides[1:]:
-            out = _equi(out, s, k, "inner")
+        out = _chain(out, sides[1:], k, "inner")
     elif len(tables) == 2 and len(members) == 2 and tables[0].df.schema[ORDER].dataType == tables[1].df.schema[ORDER].dataType:
         out = _full(*sides, k)
     else:
@@ -105,8 +104,7 @@ def join(tables: list[Table], on: str, keep: str = "", select: str | None = None
             firsts = [sides[n].groupBy(*k).agg(first(n).alias("r")) for n in members]
             out = reduce(lambda a, b: a.unionByName(b), firsts).groupBy(*k).agg(F.min("r").alias("rank"))
             rest = list(range(len(sides)))
-        for i in rest:
-            out = _equi(out, sides[i], k, "left")
+        out = _chain(out, [sides[i] for i in rest], k, "left")
     cols: list[tuple[str, Column]] = []
     names = _names([tables[0].names[i] for i in keys[0]], [[t.names[i] for i in c] for t, c in zip(tables, shown)])
     for j in range(wide):
@@ -130,6 +128,17 @@ def _full(left, right, keys: list[str]):
     return both.withColumns({c: F.when(F.col("p0").isNull(), F.col("r" + c)).otherwise(F.col(c)) for c in keys}).drop(*["r" + c for c in keys], "first0", "first1")
 
 
+def _chain(left, rights: list, keys: list[str], how: str):
+    """left joined with one table after the other.
+
+    Compiled together with a join before it, a broadcast join holds all rows of a key (the product of all
+    tables) in memory before it hands on the first. A merge join is compiled by itself, so from the second on they are.
+    """
+    for i, right in enumerate(rights):
+        left = _equi(left, right.hint("merge") if i else right, keys, how)
+    return left
+
+
 def _equi(left, right, keys: list[str], how: str):
     renamed = right.select(*[F.col(c).alias("r" + c) if c in keys else F.col(c) for c in right.columns])
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col("r" + c)) for c in keys])

@@ -210,3 +210,11 @@ def test_order_of_joins_of_tables_ordered_by_different_kinds(spark):
     c = Table.of(spark.createDataFrame([(k,) for k in (7, 20)], "k int"), ["k"])
     assert [r[0] for r in rows(join([a, b], "k", keep="0"))] == [9, 20, 100, 3, 1]
     assert [r[0] for r in rows(join([a, b, c], "k", keep="0"))] == [9, 20, 100, 3, 1, 7]
+
+
+def test_joins_of_many_tables_do_not_hold_all_rows_of_a_key(spark):
+    """Broadcast joins compiled together hold the product of all tables for a key; at most the first is one."""
+    made = [Table.of(spark.range(12).selectExpr(f"cast(id % {m} as string) as k", "id"), ["id"]) for m in (2, 3, 4)]
+    for keep, want in (("", 144), ("1", 144), ("1,3", 159), ("0", 159)):
+        df = join(made, "k", keep=keep).to_df()
+        assert df.count() == want and df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") <= 1
